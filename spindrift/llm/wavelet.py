@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ MAGIC = b"WVM1"
 END_ID = 2
 #: Tokens after which a shard is closed; a longer document makes a longer shard.
 SHARD_TOKENS = 2_000_000
-WORKER_CACHE = 300_000
+WORKER_CACHE = 600_000
 _BLOCK = 512
 
 
@@ -153,13 +154,25 @@ def unpack(image: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
 
 
 _encoders: dict = {}
+_TAIL = ".,!?;:#*$%&|"
+
+
+def _byte_letters() -> list[str]:
+    """The letter of each byte in byte-level vocabularies: printable bytes stand for themselves, others follow from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
 class _Encoder:
     """Ids of the tokenizers library, through a cache of stretches without spaces.
 
     A space ends every pre-token of such a tokenizer, so that stretches between spaces
-    are encoded apart and their ids joined.
+    are encoded apart and their ids joined. In a text that is in normal form C before and
+    after lower-casing, a stretch is cached in lower case, and letters apart from the
+    punctuation that follows them; a pre-token of letters alone goes straight to the
+    library's merge model. A text with a marker of special tokens, or a letter whose lower
+    case depends on its place, takes none of these steps.
     """
 
     def __init__(self, path: str):
@@ -169,25 +182,53 @@ class _Encoder:
         self.t.no_truncation()
         self.t.no_padding()
         self.wide = np.dtype("<u2") if self.t.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.letters = _byte_letters()
         self.cache: dict[str, bytes] = {"": b""}
+        # the shortcut holds for a tokenizer that ignores case and parts letters from the rest
+        probe = self.t.encode("Ab,", add_special_tokens=False).ids
+        self.folds = probe == self._model("ab") + self.t.encode(",", add_special_tokens=False).ids
+
+    def _model(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = "".join(map(self.letters.__getitem__, word.encode()))
+        return [x.id for x in self.t.model.tokenize(word)]
+
+    def _keep(self, w: str, ids: list[int]) -> bytes:
+        return self._put(w, np.array(ids, self.wide).tobytes())
+
+    def _put(self, w: str, x: bytes) -> bytes:
+        if len(w) <= 64:
+            if len(self.cache) >= WORKER_CACHE:
+                self.cache.clear()
+                self.cache[""] = b""
+            self.cache[w] = x
+        return x
+
+    def _plain(self, w: str) -> bytes:
+        x = self.cache.get(w)
+        return self._keep(w, self.t.encode(w, add_special_tokens=False).ids) if x is None else x
+
+    def _folded(self, w: str) -> bytes:
+        core = w.rstrip(_TAIL)
+        if not core.isalpha():
+            return self._plain(w)
+        x = self.cache.get(core)
+        if x is None:
+            x = self._keep(core, self._model(core))
+            return x + self._plain(w[len(core) :]) if len(core) < len(w) else x
+        x += self._plain(w[len(core) :])  # seen before: the stretch may come again too
+        return self._put(w, x)
 
     def ids(self, text: str) -> bytes:
-        cache = self.cache
+        miss = self._plain
+        if self.folds and "<|" not in text and "Σ" not in text:
+            low = text.lower()
+            if text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
+                text, miss = low, self._folded
         words = text.replace("\n", " ").split(" ")
-        found = list(map(cache.get, words))
+        found = list(map(self.cache.get, words))
         if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    w = words[i]
-                    x = cache.get(w)
-                    if x is None:
-                        x = np.array(self.t.encode(w, add_special_tokens=False).ids, self.wide).tobytes()
-                        if len(w) <= 64:
-                            if len(cache) >= WORKER_CACHE:
-                                cache.clear()
-                                cache[""] = b""
-                            cache[w] = x
-                    found[i] = x
+            found = [miss(w) if x is None else x for x, w in zip(found, words)]
         return b"".join(found)
 
 
