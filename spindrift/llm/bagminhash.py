@@ -12,8 +12,10 @@ in vector rounds.
 
 Bands of components give bucket keys. Texts of equal words are one node, so that copies
 cost a row each and no pair. In each bucket, all nodes are first compared with one leader;
-the similarity of two whole texts decides. Connected nodes then share a label, and a
-second pass compares, within each bucket, whatever still has different labels. A pair
+the similarity of two whole texts decides. Connected nodes then share a label. Buckets that
+still hold different labels are joined to clusters; a cluster is cut into blocks of
+bounded size, and for each two blocks that hold different labels, one matrix product
+gives the overlaps of all their texts. Only links come out, one for two labels. A pair
 that shares a bucket is thus compared, or known to be in one class already.
 """
 
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -34,6 +37,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: 32 bands of 4: a pair at 0.8 misses every band with probability 5e-8.
 BANDS, ROWS = 32, 4
 M = BANDS * ROWS
+#: Texts in a block of a cluster, and columns of a matrix product.
+BLOCK, COLUMNS = 512, 4096
+#: Document ids up to which they are broadcast to find texts; beyond, the join shuffles.
+BROADCAST_IDS = 2_000_000
 _U = np.uint64
 _K = [_U(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -146,6 +153,69 @@ def _likely(a, b):
     return pd.Series([s >= floor for s in same], dtype=bool)
 
 
+def _texts(docs: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
+    """The texts of ``ids`` (doc_id, distinct); of several texts, the greatest."""
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    found = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    return materialize(found.groupBy("doc_id").agg(F.max("text").alias("text")), tag)
+
+
+def overlaps(doc: np.ndarray, x: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the lesser counts for every two of n texts, as products of level matrices."""
+    out = np.zeros((n, n), np.float32)
+    rep = np.repeat(np.arange(len(w)), w)
+    level = np.arange(len(rep)) - np.repeat(np.cumsum(w) - w, w)
+    _, col, size = np.unique(_mix(x[rep] + level.astype(np.uint64) * _K[4]), return_inverse=True, return_counts=True)
+    shared = size[col] > 1
+    col, row = np.unique(col[shared], return_inverse=True)[1], doc[rep][shared]
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        a, b = np.searchsorted(col, (lo, lo + COLUMNS))
+        dense = np.zeros((n, COLUMNS), np.float32)
+        dense[row[a:b], col[a:b] - lo] = 1
+        out += dense @ dense.T
+    return out
+
+
+def _links(group):
+    """One link for any two labels that have near texts among the rows of a block pair."""
+    import pandas as pd
+
+    doc, x, w, _ = shingles(group["text"].tolist())
+    n, label, node = len(group), group["label"].to_numpy(), group["node"].to_numpy()
+    total = np.bincount(doc, w, n)
+    low = overlaps(doc, x, w, n)
+    a, b = np.nonzero(np.triu(low >= THRESHOLD * (total[:, None] + total[None, :] - low) - 1e-3, 1))
+    other = label[a] != label[b]
+    a, b = a[other], b[other]
+    exact = low[a, b] / (total[a] + total[b] - low[a, b]) >= THRESHOLD
+    out = pd.DataFrame({"a": node[a[exact]], "b": node[b[exact]], "la": label[a[exact]], "lb": label[b[exact]]})
+    return out.drop_duplicates(["la", "lb"])[["a", "b"]]
+
+
+def _rest(crowded: DataFrame, label: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between nodes of different labels that share a bucket."""
+    marked = crowded.select("key", "node").distinct().join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("top"), F.count("*").alias("n"))
+    mixed = mixed.where("lo <> hi and n > 2").select("key", "top")
+    marked = materialize(marked.join(mixed, "key"), "mixed")
+    cluster = components(marked.select(F.col("node").alias("a"), F.col("top").alias("b")).where("a <> b"))
+    members = marked.select("node", "label").distinct().join(cluster.withColumnRenamed("label", "cluster"), "node")
+    place = F.row_number().over(W.partitionBy("cluster").orderBy("label", "node"))
+    members = materialize(members.withColumn("block", F.floor((place - 1) / BLOCK).cast("int")), "members")
+    blocks = members.groupBy("cluster", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    other = blocks.withColumnsRenamed({"block": "block2", "lo": "lo2", "hi": "hi2"})
+    two = blocks.join(other, "cluster").where("block <= block2 and not (lo = hi and lo2 = hi2 and lo = lo2)").select("cluster", "block", "block2")
+    sides = two.select("cluster", "block", "block2", F.explode(F.array_distinct(F.array("block", "block2"))).alias("side"))
+    texts = _texts(docs, members.select(F.col("node").alias("doc_id")).distinct(), "rest-texts")
+    rows = members.join(texts.withColumnRenamed("doc_id", "node"), "node").withColumnRenamed("block", "side").join(sides, ["cluster", "side"])
+    found = rows.select("cluster", "block", "block2", "node", "label", "text").groupBy("cluster", "block", "block2").applyInPandas(_links, "a long, b long")
+    out = materialize(found, "rest")
+    release(marked, cluster, members, texts)
+    return out
+
+
 def _verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
     """The pairs (a, b) of nodes whose whole texts are near."""
     sig = sigs.select("node", "sig")
@@ -155,7 +225,7 @@ def _verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, tag: str) -> Dat
     )
     likely = materialize(likely, tag + "-pairs")
     need = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    texts = materialize(docs.select("doc_id", "text").join(need, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), tag + "-texts")
+    texts = _texts(docs, need, tag + "-texts")
     near = (
         likely.join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b")
         .where(_near("ta", "tb")).select("a", "b")
@@ -213,15 +283,9 @@ def classes(docs: DataFrame) -> DataFrame:
     star = crowded.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     edges = _verify(star, sigs, docs, "star")
     label = components(edges)
-    # what a bucket still holds under different labels is compared pair by pair
-    marked = crowded.select("key", "node").distinct().join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key")
-    marked = materialize(marked.join(mixed, "key", "left_semi"), "mixed")
-    x, y = marked.withColumnsRenamed({"node": "a", "label": "la"}), marked.withColumnsRenamed({"node": "b", "label": "lb"})
-    rest = x.join(y, "key").where("a > b and la <> lb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = _verify(rest, sigs, docs, "rest")
+    more = _rest(crowded, label, docs)
     final = components(edges.union(more).union(copies))
     out = signed.select("doc_id").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = materialize(out.select("doc_id", F.coalesce("label", "doc_id").alias("class_id")).repartition(max(1, parts(spark) // 4)), "classes")
-    release(signed, nodes, copies, crowded, label, marked, edges, more, final)
+    release(signed, nodes, copies, crowded, label, edges, more, final)
     return out
