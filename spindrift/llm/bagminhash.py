@@ -11,7 +11,7 @@ that are earlier than the latest component so far are generated, for all texts o
 in vector rounds.
 
 Bands of components give bucket keys. Texts of equal words are one node, so that copies
-cost a row each and no pair. In each bucket, all nodes are first compared with one leader;
+cost a row each and no pair. Each node is first compared with two leaders of its buckets;
 the similarity of two whole texts decides. Connected nodes then share a label. Buckets that
 still hold different labels are joined to clusters; a cluster is cut into blocks of
 bounded size, and for each two blocks that hold different labels, one matrix product
@@ -280,7 +280,10 @@ def classes(docs: DataFrame) -> DataFrame:
     leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("key", "leader")
     crowded = materialize(keys.join(leaders, "key"), "buckets")
     sigs = nodes.groupBy("node").agg(F.max("sig").alias("sig"))
-    star = crowded.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    # of the leaders of its buckets, a node meets the one of most buckets, and the least
+    votes = crowded.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
+    two = votes.groupBy("node").agg(F.array_distinct(F.array(F.max_by("leader", F.struct("n", -F.col("leader"))), F.min("leader"))).alias("b"))
+    star = two.select(F.col("node").alias("a"), F.explode("b").alias("b"))
     edges = _verify(star, sigs, docs, "star")
     label = components(edges)
     more = _rest(crowded, label, docs)
