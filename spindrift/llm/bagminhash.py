@@ -197,11 +197,11 @@ def _links(group):
 def _rest(crowded: DataFrame, label: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between nodes of different labels that share a bucket."""
     marked = crowded.select("key", "node").distinct().join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("top"), F.count("*").alias("n"))
-    mixed = mixed.where("lo <> hi and n > 2").select("key", "top")
+    mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
+    mixed = mixed.where("lo <> hi and n > 2").select("key", "lo")
     marked = materialize(marked.join(mixed, "key"), "mixed")
-    cluster = components(marked.select(F.col("node").alias("a"), F.col("top").alias("b")).where("a <> b"))
-    members = marked.select("node", "label").distinct().join(cluster.withColumnRenamed("label", "cluster"), "node")
+    cluster = components(marked.select(F.col("label").alias("a"), F.col("lo").alias("b")).where("a <> b"))
+    members = marked.select("node", "label").distinct().join(cluster.withColumnsRenamed({"label": "cluster", "node": "label"}), "label")
     place = F.row_number().over(W.partitionBy("cluster").orderBy("label", "node"))
     members = materialize(members.withColumn("block", F.floor((place - 1) / BLOCK).cast("int")), "members")
     blocks = members.groupBy("cluster", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
