@@ -238,24 +238,33 @@ def _verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, tag: str) -> Dat
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of ``edges`` (a, b) is connected with.
 
-    Labels spread over edges and jump to their label's label, in rounds, until none falls.
+    Each node hooks to the neighbour of least hash, and edges move to where their ends
+    hooked; those that became loops go. The hash makes chains of ids no worse than any.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "label")
-    while True:
-        near = both.join(label.withColumnsRenamed({"node": "b", "label": "lb"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("lb").alias("lb"))
-        up = label.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        new = (
-            label.join(near, "node").join(up, "label")
-            .select("node", F.least("label", "lb", "top").alias("label"), (F.least("lb", "top") < F.col("label")).alias("fell"))
-        )
-        new = materialize(new, "label")
-        release(label)
-        label = new.select("node", "label")
-        label._spindrift_path = new._spindrift_path
-        if not new.where("fell").limit(1).count():
-            release(both)
-            return label
+
+    def rank(c: str):
+        return F.struct(F.xxhash64(c), F.col(c))
+
+    left = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
+    levels: list[DataFrame] = []
+    while not levels or left.limit(1).count():
+        near = left.groupBy("a").agg(F.min_by("b", rank("b")).alias("b"))
+        hook = near.select(F.col("a").alias("node"), F.when(rank("b") < rank("a"), F.col("b")).otherwise(F.col("a")).alias("parent"))
+        hook = hook.join(hook.select(F.col("node").alias("parent"), F.col("parent").alias("top")), "parent").select("node", F.col("top").alias("parent"))
+        levels.append(materialize(hook, "hooks"))
+        pa_, pb = (levels[-1].withColumnsRenamed({"node": c, "parent": f"p{c}"}) for c in "ab")
+        moved = left.join(pa_, "a").join(pb, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
+        moved = materialize(moved, "edges")
+        release(left)
+        left = moved
+    label = levels[0]
+    for hook in levels[1:]:
+        up = hook.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
+        label = label.join(up, "parent", "left").select("node", F.coalesce("top", "parent").alias("parent"))
+    least = label.groupBy("parent").agg(F.min("node").alias("label"))
+    out = materialize(label.join(least, "parent").select("node", "label"), "labels")
+    release(left, *levels)
+    return out
 
 
 def classes(docs: DataFrame) -> DataFrame:
