@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,6 +179,7 @@ class Run:
     """A front-coded sorted run, decoded one suffix at a time."""
 
     def __init__(self, blob: bytes):
+        blob = zstandard.ZstdDecompressor().decompress(blob)
         n, m = struct.unpack_from("<II", blob)
         self.shared = blob[8 : 8 + n]
         self.size = blob[8 + n : 8 + 2 * n]
@@ -188,7 +190,8 @@ class Run:
     @staticmethod
     def pack(rows: np.ndarray, size: np.ndarray, payload: np.ndarray) -> bytes:
         shared, rest = front_code(rows, size)
-        return b"".join([struct.pack("<II", len(rows), len(rest)), shared.tobytes(), size.astype(np.uint8).tobytes(), rest, payload.tobytes()])
+        blob = [struct.pack("<II", len(rows), len(rest)), shared.tobytes(), size.astype(np.uint8).tobytes(), rest, payload.tobytes()]
+        return zstandard.ZstdCompressor(level=1).compress(b"".join(blob))
 
     def step(self) -> int:
         """Go to the next suffix; its prefix shared with the last one, or -1 at the end."""
@@ -369,15 +372,17 @@ def splitters(docs: DataFrame, n: int) -> list[bytes]:
     return [found[len(found) * k // n] for k in range(1, n)] if found else []
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, first, end): byte spans of repeats, over ``docs`` (doc_id, tag, text)
-    of distinct texts; tag tells the texts of one doc_id apart."""
+def repeated_spans(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """(doc_id, tag, first, end): byte spans of repeats, over ``docs`` (doc_id, tag, text);
+    tag tells the texts of one doc_id apart. ``copies`` (doc_id, tag) repeat an earlier
+    document whole, and ship no piece."""
     spark = docs.sparkSession
     chosen = materialize(candidates(docs), "anchors")
     total = chosen.count()
     n = int(max(parts(spark), total * 3 * 110 // MERGE_BYTES, 1))
     cuts = spark.sparkContext.broadcast(splitters(docs, n))
-    by_doc = chosen.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
+    whole = copies.groupBy("doc_id").agg(F.collect_set("tag").alias("whole"))
+    by_doc = chosen.groupBy("doc_id").agg(F.collect_list("at").alias("at")).join(whole, "doc_id", "left")
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -444,7 +449,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             doc, tag, lo, hi = _join_spans(*_spans(p["doc"], p["tag"], p["start"], flags[some]))
         return pa.table({"doc_id": pa.array(doc), "tag": pa.array(tag), "first": pa.array(lo), "end": pa.array(hi)})
 
-    shipped = docs.join(by_doc, "doc_id").select("doc_id", "tag", "text", "at").mapInArrow(ship, "part int, blob binary")
+    shipped = docs.join(by_doc, "doc_id").where("whole is null or not array_contains(whole, tag)").select("doc_id", "tag", "text", "at").mapInArrow(ship, "part int, blob binary")
     # spans known at once need no merge and are dealt out by their bytes
     shipped = shipped.withColumn("deal", F.when(F.col("part") < 0, F.pmod(F.xxhash64("blob"), F.lit(n)).cast("int")).otherwise(F.lit(0)))
     merged = shipped.groupBy("part", "deal").applyInArrow(combine, "doc_id long, tag long, first long, end long")
@@ -499,7 +504,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     least = hashed.groupBy("sha").agg(F.min("doc_id").alias("first_id"))
     copies = hashed.join(least, "sha").where("doc_id > first_id").select("doc_id", "tag", F.lit(0).cast("long").alias("first"), F.col("n").alias("end")).distinct()
     copies = materialize(copies, "copies")
-    spans = repeated_spans(all_docs.where("doc_id is not null"))
+    spans = repeated_spans(all_docs.where("doc_id is not null"), copies)
     per_doc = (
         spans.unionByName(copies).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "end")).alias("found"))
     )
