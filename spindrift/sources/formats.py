@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,9 +83,21 @@ def pack_seen(rows: DataFrame) -> Column:
 
 
 def read_seen(spark: SparkSession, path: str) -> DataFrame:
-    """A binary seen file of 12-byte records; a short last record is dropped."""
-    raw = spark.sparkContext.binaryRecords(path, RECORD_BYTES)
-    return spark.createDataFrame(raw.map(lambda b: struct.unpack(RECORD, bytes(b))), "key long, ts long")
+    """Binary seen files of 12-byte records. A short last record is dropped; a file with
+    one is read whole by a task, others are split."""
+    files = spark.read.format("binaryFile").load(path)
+    if not files.where(F.col("length") % RECORD_BYTES != 0).limit(1).count():
+        raw = spark.sparkContext.binaryRecords(path, RECORD_BYTES)
+        return spark.createDataFrame(raw.map(lambda b: struct.unpack(RECORD, bytes(b))), "key long, ts long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                data = x.as_py()
+                rows = list(struct.iter_unpack(RECORD, data[: len(data) // RECORD_BYTES * RECORD_BYTES]))
+                yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in rows], pa.int64()), "ts": pa.array([t for _, t in rows], pa.int64())})
+
+    return files.select("content").mapInArrow(run, "key long, ts long")
 
 
 def parse_bool(text: Column) -> Column:

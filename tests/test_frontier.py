@@ -102,7 +102,9 @@ def test_feed_equals_simulation(spark, n, cursor):
 def test_seen_files(spark, tmp_path):
     path = tmp_path / "SEEN"
     keys = [(-5, 0), (3, 2**32 - 1), (9, 7)]
-    path.write_bytes(b"".join(struct.pack("<qI", *k) for k in keys) + b"xyz")
+    path.write_bytes(b"".join(struct.pack("<qI", *k) for k in keys))
+    assert sorted(tuple(r) for r in formats.read_seen(spark, str(path)).collect()) == keys
+    path.write_bytes(path.read_bytes() + b"xyz")
     assert sorted(tuple(r) for r in formats.read_seen(spark, str(path)).collect()) == keys
     df = spark.createDataFrame(keys, "key long, ts long")
     assert sorted(bytes(r[0]) for r in df.select(formats.pack_seen(df)).collect()) == sorted(struct.pack("<qI", *k) for k in keys)
