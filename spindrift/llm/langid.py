@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import ensure_importable, slices
+from spindrift.llm.common import ensure_importable, materialize, release, slices
 
 #: First code points of the scripts' main ranges, with the end of each range.
 SCRIPTS = [
@@ -88,8 +88,10 @@ def fit(docs: DataFrame, max_docs: int = FIT_DOCS, max_grams: int = FIT_GRAMS) -
 
     found = sample.mapInArrow(count, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     per_gram = found.groupBy("gram").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    per_gram = materialize(per_gram, "grams")
     scripts_rows = per_gram.where(F.col("gram").startswith("script:")).collect()
     rows = per_gram.where(~F.col("gram").startswith("script:")).orderBy(F.desc("all"), "gram").limit(max_grams).collect()
+    release(per_gram)
     langs = sorted({b.lang for r in scripts_rows for b in r.by})
     at = {x: i for i, x in enumerate(langs)}
     n = np.zeros((len(rows), len(langs)))
