@@ -28,7 +28,8 @@ def _without(docs: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.5 or more; it learns from the labels of all rows here."""
     trees = gbdt.fit(docs, table(spark, sf_dir, "labels"))
-    return gbdt.score(docs, trees, out_col="_score").where("_score >= 0.5").drop("_score")
+    rows = docs.select("text", F.struct("*").alias("row"))
+    return gbdt.score(rows, trees).where("score >= 0.5").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +52,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed sample; a document comes once for each epoch that takes it."""
-    leafed = mixing.leaf_columns(docs.select("*", F.col("lang").alias("_lang"), F.col("source").alias("_source")))
-    counted = leafed.withColumn("n_tokens", mixing.count_words(F.col("text")))
-    slim = materialize(counted.select("doc_id", *mixing.LEVELS, "n_tokens"), "mix")
+    leafed = mixing.leaf_columns(docs.select("doc_id", "lang", "source", F.struct("*").alias("row")))
+    slim = materialize(leafed.select("doc_id", *mixing.LEVELS, mixing.count_words(F.col("row.text")).alias("n_tokens")), "mix")
     planned = mixing.plan(slim, mixing.WEIGHTS, mixing.BUDGET_SHARE, mixing.MAX_EPOCHS, mixing.SEED)
-    taken = mixing.take(leafed, planned, mixing.SEED)
-    return taken.withColumns({"lang": F.col("_lang"), "source": F.col("_source")}).select(*docs.columns)
+    return mixing.take(leafed, planned, mixing.SEED).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,7 +127,8 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, r
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_docs: int = FIT_DOCS) -> Trees:
     """Fit on the labelled documents, or on ``max_docs`` of them chosen by a hash of doc_id.
 
-    A document with several labels counts with its highest.
+    A document with several labels counts with its highest, one with several rows once,
+    with the greatest statistics, so that ``max_docs`` bounds what the driver gets.
     """
     spark = docs.sparkSession
     ensure_importable(spark)
@@ -140,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_docs
             x = [statistics(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    got = rows.select("doc_id", "text", "_label").mapInArrow(run, "doc_id long, y double, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    seen = rows.select("doc_id", "text", "_label").mapInArrow(run, "doc_id long, y double, x array<double>")
+    got = seen.groupBy("doc_id").agg(F.max("y").alias("y"), F.max("x").alias("x")).toPandas().sort_values("doc_id", kind="stable")
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(NAMES))
     return grow(x, got["y"].to_numpy(float))
 

@@ -93,10 +93,12 @@ def with_leaves(docs: DataFrame, leaves: DataFrame, levels: list[str]) -> DataFr
 
 
 def take(docs: DataFrame, planned: DataFrame, seed: int, levels: list[str] = LEVELS) -> DataFrame:
-    """Rows of ``docs`` once for each epoch that takes them, with ``epoch``."""
-    out = with_leaves(docs, planned.select(*levels, "q", "cut"), levels)
+    """Rows of ``docs`` once for each epoch that takes them, with ``epoch``, which replaces a
+    column of that name."""
+    rows = docs.drop("epoch").select("doc_id", *levels, F.struct("*").alias("_row"))
+    out = with_leaves(rows, planned.select(*levels, "q", "cut"), levels)
     n = F.col("q") + F.coalesce(order_key(seed, F.col("q")) <= F.col("cut"), F.lit(False)).cast("long")
-    return out.withColumn("_n", n).where("_n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("q", "cut", "_n")
+    return out.withColumn("_n", n).where("_n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).select("_row.*", "epoch")
 
 
 def count_words(text: Column) -> Column:

@@ -1,4 +1,5 @@
 import public_tokenizers
+from pyspark.sql import functions as F
 from test_bagminhash import brute as near_brute
 from test_learned import SF
 from test_tokens import expected
@@ -42,3 +43,21 @@ def test_stages_on_odd_tables(spark):
             out.collect()
     assert sorted(str(r.doc_id) for r in cp.near_duplicates(spark, docs, SF).collect()) == ["1", "2", "5", "None"]
     assert public_tokenizers.path("x")
+
+
+def test_stages_with_clashing_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["score", "_score", "row", "_row", "q", "cut", "_n", "epoch", "domain", "n_tokens", "class_id", "item_id", "label", "node", "text2", "a.b"]
+    wide = docs.withColumns({c: F.lit(f"own {c}") for c in names})
+    for name in ("quality", "decontaminate", "mix"):
+        stage = dict(cp.STAGES)[name]
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns
+        assert sorted(map(str, stage(spark, docs, SF).collect())) == sorted(map(str, out.select(*docs.columns).collect()))
+        assert [tuple(r) for r in out.drop(*docs.columns).distinct().collect()] == [tuple(f"own {c}" for c in names)]
+
+
+def test_fit_counts_repeated_rows_once(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    one, two = (gbdt.fit(d, labels) for d in (docs, docs.unionAll(docs)))
+    assert (one.values == two.values).all() and (one.cuts == two.cuts).all() and one.base == two.base
