@@ -12,6 +12,7 @@ gets no cutoff, and only the base rules judge its documents.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -111,24 +112,19 @@ def calibrate(measured: DataFrame, good: DataFrame, stratum: str = "stratum", ri
     """Cutoffs per stratum: one column per rule, null where none is proven safe.
 
     ``good`` holds the ids of documents labelled good; all of them take part. Counts come
-    from one aggregate, with a row per stratum.
+    from one aggregate, with a row per stratum; a stratum without a proven cutoff has no row.
     """
     per_rule = risk / len(RULES)
     held = measured.join(good.select("doc_id").distinct(), "doc_id", "left_semi")
-    counts = [F.sum((_ratio(r) > c).cast("long")).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(CUTOFFS)]
-    per = held.groupBy(stratum).agg(F.count("*").alias("n"), *counts)
-    per = per.crossJoin(F.broadcast(per.agg(F.count("*").alias("strata"))))  # a single row
-    tests = F.col("strata") * (len(RULES) * len(CUTOFFS))
-
-    def cutoff(rule: str) -> Column:
-        safe = [
-            F.when(F.col(f"{rule}_{i}") < F.col("n") * per_rule,
-                   F.when(log_tail(F.col(f"{rule}_{i}"), F.col("n"), per_rule) <= F.log(error / tests), F.lit(c)))
-            for i, c in enumerate(CUTOFFS)
-        ]
-        return F.coalesce(*safe).alias(f"cut_{rule}")
-
-    return per.select(stratum, *map(cutoff, RULES))
+    counts = [
+        F.struct(F.lit(r).alias("rule"), F.lit(c).alias("c"), F.sum((_ratio(r) > c).cast("long")).alias("k")) for r in RULES for c in CUTOFFS
+    ]
+    per = materialize(held.groupBy(stratum).agg(F.count("*").alias("n"), F.array(*counts).alias("seen")), "counts")
+    tests = per.count() * len(counts)
+    # a row per test, so that the tail is one expression
+    tried = per.select(stratum, "n", F.inline("seen")).where(F.col("k") < F.col("n") * per_rule)
+    safe = tried.where(log_tail(F.col("k"), F.col("n"), per_rule) <= math.log(error / max(1, tests)))
+    return safe.groupBy(stratum).agg(*(F.min(F.when(F.col("rule") == r, F.col("c"))).alias(f"cut_{r}") for r in RULES))
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "stratum") -> DataFrame:
