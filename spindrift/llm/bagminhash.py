@@ -12,8 +12,9 @@ in vector rounds.
 
 Bands of components give bucket keys. Texts of equal words are one node, so that copies
 cost a row each and no pair. Each node is first compared with two leaders of its buckets;
-the similarity of two whole texts decides. Connected nodes then share a label. Buckets that
-still hold different labels are joined to clusters; a cluster is cut into blocks of
+the similarity of two whole texts decides. Connected nodes then share a label. Buckets of
+two nodes of different labels are pairs to compare, unless they were compared before; larger
+buckets that still hold different labels are joined to clusters; a cluster is cut into blocks of
 bounded size, and for each two blocks that hold different labels, one matrix product
 gives the overlaps of all their texts. Only links come out, one for two labels. A pair
 that shares a bucket is thus compared, or known to be in one class already.
@@ -194,12 +195,17 @@ def _links(group):
     return out.drop_duplicates(["la", "lb"])[["a", "b"]]
 
 
-def _rest(crowded: DataFrame, label: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between nodes of different labels that share a bucket."""
+def _rest(crowded: DataFrame, label: DataFrame, star: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between nodes of different labels that share a bucket; ``star`` are the pairs (a, b) compared before."""
     marked = crowded.select("key", "node").distinct().join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
-    mixed = mixed.where("lo <> hi and n > 2").select("key", "lo")
-    marked = materialize(marked.join(mixed, "key"), "mixed")
+    mixed = marked.groupBy("key").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.max("node").alias("a"), F.min("node").alias("b")
+    )
+    mixed = materialize(mixed.where("lo <> hi"), "mixed-keys")
+    # the node of a bucket of two may have met other leaders only
+    two_left = mixed.where("n = 2").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    two_links = _verify(two_left, sigs, docs, "two")
+    marked = materialize(marked.join(mixed.where("n > 2").select("key", "lo"), "key"), "mixed")
     cluster = components(marked.select(F.col("label").alias("a"), F.col("lo").alias("b")).where("a <> b"))
     members = marked.select("node", "label").distinct().join(cluster.withColumnsRenamed({"label": "cluster", "node": "label"}), "label")
     place = F.row_number().over(W.partitionBy("cluster").orderBy("label", "node"))
@@ -211,8 +217,8 @@ def _rest(crowded: DataFrame, label: DataFrame, docs: DataFrame) -> DataFrame:
     texts = _texts(docs, members.select(F.col("node").alias("doc_id")).distinct(), "rest-texts")
     rows = members.join(texts.withColumnRenamed("doc_id", "node"), "node").withColumnRenamed("block", "side").join(sides, ["cluster", "side"])
     found = rows.select("cluster", "block", "block2", "node", "label", "text").groupBy("cluster", "block", "block2").applyInPandas(_links, "a long, b long")
-    out = materialize(found, "rest")
-    release(marked, cluster, members, texts)
+    out = materialize(found.union(two_links), "rest")
+    release(mixed, two_links, marked, cluster, members, texts)
     return out
 
 
@@ -292,12 +298,12 @@ def classes(docs: DataFrame) -> DataFrame:
     # of the leaders of its buckets, a node meets the one of most buckets, and the least
     votes = crowded.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
     two = votes.groupBy("node").agg(F.array_distinct(F.array(F.max_by("leader", F.struct("n", -F.col("leader"))), F.min("leader"))).alias("b"))
-    star = two.select(F.col("node").alias("a"), F.explode("b").alias("b"))
+    star = materialize(two.select(F.col("node").alias("a"), F.explode("b").alias("b")), "star-all")
     edges = _verify(star, sigs, docs, "star")
     label = components(edges)
-    more = _rest(crowded, label, docs)
+    more = _rest(crowded, label, star, sigs, docs)
     final = components(edges.union(more).union(copies))
     out = signed.select("doc_id").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = materialize(out.select("doc_id", F.coalesce("label", "doc_id").alias("class_id")).repartition(max(1, parts(spark) // 4)), "classes")
-    release(signed, nodes, copies, crowded, label, edges, more, final)
+    release(signed, nodes, copies, crowded, star, label, edges, more, final)
     return out

@@ -86,3 +86,14 @@ def test_odd_rows_and_chains(spark):
     assert len(out) == len(rows) and [r.class_id for r in out if r.doc_id is None] == [None]
     assert sorted({tuple(r) for r in out if r.doc_id is not None}) == sorted(set(brute(rows)))
     assert bmh.classes(df.limit(0)).count() == 0
+
+
+def test_two_node_bucket_of_a_passed_over_leader(spark):
+    """2 and 3 are near and share buckets of two only; 1, near to none, has more buckets of 3 and the lesser id."""
+    x = [f"2094x{i}" for i in range(204)]
+    a, c = [f"2094a{i}" for i in range(23)] + x[23:], x[:-22] + [f"2094c{i}" for i in range(22)]
+    rows = [(1, " ".join(a)), (2, " ".join(c)), (3, " ".join(x))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bands = {r.doc_id: set(r.bands) for r in bmh.sign(df).collect()}
+    assert len(bands[1] & bands[3]) > len(bands[2] & bands[3]) > 0 and not bands[1] & bands[2] & bands[3]
+    assert sorted(tuple(r) for r in bmh.classes(df).collect()) == brute(rows) == [(1, 1), (2, 2), (3, 2)]
