@@ -356,7 +356,8 @@ def _order(suffix: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def splitters(docs: DataFrame, n: int) -> list[bytes]:
-    """Suffixes that cut the order into n ranges; they balance tasks and change no result."""
+    """Cores that cut the order into n ranges; they balance tasks and change no result, because
+    pieces of one core lie on one side of each."""
     some = docs.where("octet_length(text) >= %d" % LENGTH).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SPLITTER_DOCS).distinct()
     chosen = docs.join(F.broadcast(some), "doc_id", "left_semi").select("text")
 
@@ -366,7 +367,7 @@ def splitters(docs: DataFrame, n: int) -> list[bytes]:
             zero = np.zeros(len(texts), np.int64)
             for suffix, _, _ in _piece_rows(zero, zero, texts, None):
                 some = suffix[:: max(1, len(suffix) // 500)]
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in some], pa.binary())], ["s"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[:CORE].tobytes() for r in some], pa.binary())], ["s"])
 
     found = sorted(bytes(r.s) for r in chosen.mapInArrow(run, "s binary").collect())
     return [found[len(found) * k // n] for k in range(1, n)] if found else []

@@ -56,6 +56,19 @@ def test_odd_texts(spark):
     assert sd.dedup(df.limit(0)).count() == 0
 
 
+def test_many_parts_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = "".join(rng.choice(list("abcdef "), 600))
+    rows = [(1, base)]
+    for n in range(30):
+        edits = list(base)
+        for k in rng.integers(0, len(edits), 3):
+            edits[k] = "#"
+        rows.append((2 + n, "".join(edits)))
+    monkeypatch.setattr(sd, "parts", lambda spark: 64)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
+
+
 def test_long_text_slices(spark, monkeypatch):
     rng = np.random.default_rng(8)
     base = "".join(rng.choice(list("abc "), 700))
