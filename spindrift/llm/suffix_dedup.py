@@ -49,6 +49,7 @@ _K = [_U(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 def anchors(buf: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of texts that lie end to end in ``buf``: text, place, hash, first and last window."""
     n = len(buf)
+    assert n < 1 << 24  # places take 24 bits below
     none = np.zeros(0, np.int64)
     if n < LENGTH:
         return none, none, none.astype(np.uint64), none, none
@@ -84,13 +85,14 @@ def _buffers(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     share LENGTH - 1 bytes, so that each of its windows lies in one. Yields the first text, the offset of
     the slice in it (0 but for long texts), buffer, firsts and sizes."""
     for i, j in slices(texts, _SLICE):
-        if j == i + 1 and len(texts[i]) > 2 * _SLICE:
-            for at in range(0, len(texts[i]) - LENGTH + 1, _SLICE):
-                piece = np.frombuffer(texts[i][at : at + _SLICE + LENGTH - 1], np.uint8)
-                yield i, at, piece, np.zeros(1, np.int64), np.array([len(piece)])
-        else:
-            size = np.array([len(t) for t in texts[i:j]], np.int64)
-            yield i, 0, np.frombuffer(b"".join(texts[i:j]), np.uint8), np.cumsum(size) - size, size
+        long = len(texts[j - 1]) > 2 * _SLICE  # it ends its slice; the texts before it go by themselves
+        if j - long > i:
+            size = np.array([len(t) for t in texts[i : j - long]], np.int64)
+            yield i, 0, np.frombuffer(b"".join(texts[i : j - long]), np.uint8), np.cumsum(size) - size, size
+        if long:
+            for at in range(0, len(texts[j - 1]) - LENGTH + 1, _SLICE):
+                piece = np.frombuffer(texts[j - 1][at : at + _SLICE + LENGTH - 1], np.uint8)
+                yield j - 1, at, piece, np.zeros(1, np.int64), np.array([len(piece)])
 
 
 def _encoded(column: pa.Array) -> list[bytes]:

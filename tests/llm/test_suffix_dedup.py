@@ -82,6 +82,22 @@ def test_long_text_slices(spark, monkeypatch):
     assert seen == {(i, k) for i, t in enumerate(texts) for k in range(len(t) - 99)}
 
 
+def test_long_text_behind_a_short_one(monkeypatch):
+    texts = [b"short", b"z" * (2**24 + 500), b"end" * 50]
+    assert max(len(buf) for _, _, buf, _, _ in sd._buffers(texts)) < 2**24
+    rng = np.random.default_rng(12)
+    base = "".join(rng.choice(list("abc "), 700)).encode()
+    monkeypatch.setattr(sd, "_SLICE", 500)
+    texts = [base[:130], base + b"x" + base, base[5:200], base[:450], base * 2, b""]
+    seen = set()
+    for i, at, buf, first, size in sd._buffers(texts):
+        assert len(buf) <= 3 * 500
+        doc, place, _, lo, hi = sd.anchors(buf, first, size)
+        for d, a, x, y in zip(doc, lo - first[doc] + at, lo, hi):
+            seen.update((i + d, a + k) for k in range(y - x + 1))
+    assert seen == {(i, k) for i, t in enumerate(texts) for k in range(len(t) - 99)}
+
+
 def test_loser_tree_merges_and_measures():
     rng = np.random.default_rng(9)
     runs, every = [], []
