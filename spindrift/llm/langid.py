@@ -100,9 +100,13 @@ def fit(docs: DataFrame, max_docs: int = FIT_DOCS, max_grams: int = FIT_GRAMS) -
             n[i, at[b.lang]] = b.n
     total = np.maximum(n.sum(axis=0), 1)
     scores = np.log((n + 0.5) / (total + 0.5 * max(1, len(rows)))) if langs else n
-    scripts = {}
+    # a language may be written in a script that has a thousandth of its own words
+    scripts, words = {}, Counter()
     for r in scripts_rows:
-        share = {b.lang: b.n / r["all"] for b in r.by}
+        for b in r.by:
+            words[b.lang] += b.n
+    for r in scripts_rows:
+        share = {b.lang: b.n / words[b.lang] for b in r.by}
         scripts[r.gram[7:]] = [share.get(x, 0) >= 0.001 for x in langs]
     return Model(langs, {r.gram: i for i, r in enumerate(rows)}, scores.astype(np.float32), scripts)
 

@@ -83,6 +83,15 @@ def test_op5_accuracy_and_spans(spark):
     assert {r.lang_pred for r in langid.identify(odd, none).collect()} == {"und"}
 
 
+def test_rare_language_keeps_its_script(spark):
+    """One word in 5,000 is of the rare language."""
+    rows = [(1, "the house is over there and we will see it " * 10_000, "en"), (2, "zwyk kuqo vuzy qarw " * 5, "xx")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["en", "xx"] and model.scripts["Latin"] == [True, True]
+    odd = spark.createDataFrame([(1, "zwyk kuqo vuzy qarw kuqo"), (2, "we will see the house")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(odd, model).collect()} == {1: "xx", 2: "en"}
+
+
 def test_op10_held_out_accuracy(spark):
     out = queries.op10_quality_classifier(spark, SF).toPandas().merge(spark.read.parquet(f"{SF}/labels.parquet").toPandas(), on="doc_id")
     held = out[out.held_out]
