@@ -40,7 +40,8 @@ SWITCH_PENALTY = 8.0
 WORD_FLOOR = -6.0
 WORKER_CACHE = 300_000
 CHUNK = 128
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: A word is a run of letters; a longer run (unspaced scripts) is cut into words of 40.
+_LETTERS = re.compile(r"[^\W\d_]{1,40}")
 _NEVER = np.float32(-1e9)
 
 
@@ -51,7 +52,7 @@ def script_of(word: str) -> str:
 
 
 def grams(word: str) -> list[str]:
-    w = f"^{word[:40]}$"
+    w = f"^{word}$"
     return [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1)]
 
 

@@ -92,6 +92,15 @@ def test_rare_language_keeps_its_script(spark):
     assert {r.doc_id: r.lang_pred for r in langid.identify(odd, model).collect()} == {1: "xx", 2: "en"}
 
 
+def test_long_run_of_letters_counts_whole(spark):
+    rows = [(1, "houses stand here " * 50, "en"), (2, "zwykkuqo vuzyqarw " * 50, "xx")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd = spark.createDataFrame([(1, "houses" * 40 + "zwykkuqo" * 40)], "doc_id long, text string")
+    got = langid.identify(odd, model).first()
+    assert got.lang_pred == "xx" and [s.lang for s in got.spans] == ["en", "xx"]
+    assert [s.letters for s in got.spans] == [240, 320]
+
+
 def test_op10_held_out_accuracy(spark):
     out = queries.op10_quality_classifier(spark, SF).toPandas().merge(spark.read.parquet(f"{SF}/labels.parquet").toPandas(), on="doc_id")
     held = out[out.held_out]
