@@ -5,8 +5,10 @@ with substituted words still hashes like the benchmark's where the mask looks. H
 training windows meet those of benchmark windows; each meeting fixes a diagonal, on which
 the two word sequences are compared outwards from the hit: a match scores 1, a
 substitution -2, and the best segment counts. A document is reported with an item if that
-segment has ``MIN_MATCHED`` equal words (all words of a shorter item) and at least
-``MIN_IDENTITY`` of its words are equal.
+segment has ``MIN_MATCHED`` equal words and at least ``MIN_IDENTITY`` of its words are
+equal. Of an item of 9 to 17 words, ``MIN_IDENTITY`` of all its words must be equal on the
+diagonal instead; three neighbours among these are always equal, so that such items are
+found by every three words. Items below 9 words must be found whole.
 
 The benchmark is the stated query set. It is taken in blocks of bounded size, and every
 block meets all documents, so that no document is shuffled however large either side is.
@@ -28,6 +30,8 @@ from spindrift.llm.common import ensure_importable, slices
 #: Weight 6 each, so that about a word in three of a window may be substituted.
 MASKS = ["111001011", "1101010011", "110010001101"]
 MIN_MATCHED, MIN_IDENTITY = 13, 0.75
+#: Lengths of items that are judged as a whole, and the seed that finds all of them.
+WHOLE, WHOLE_MASK = range(9, 18), "111"
 #: Characters of benchmark text in a block, which bounds what is broadcast.
 BLOCK_CHARS = 8_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15) * np.arange(3, 67, 2, dtype=np.uint64) | np.uint64(1)
@@ -62,12 +66,12 @@ class Index:
         self.ids = [i for i, _ in items]
         self.words = [words_of(t or "") for _, t in items]
         lengths = {len(w) for w in self.words if 0 < len(w) < min(map(len, MASKS))}
-        self.masks = [(m, None) for m in MASKS] + [("1" * n, n) for n in sorted(lengths)]
+        self.masks = [(m, None) for m in MASKS] + [("1" * n, [n]) for n in sorted(lengths)] + [(WHOLE_MASK, WHOLE)]
         self.seeds = []
         for mask, only in self.masks:
             keys, item, pos = [], [], []
             for i, w in enumerate(self.words):
-                if only is None or len(w) == only:
+                if only is None or len(w) in only:
                     k = _windows(_hashes(w), mask)
                     keys.append(k)
                     item.append(np.full(len(k), i))
@@ -136,8 +140,15 @@ def find_overlaps(docs: DataFrame, items: list[tuple[int, str]], text_col: str =
                     item, lo, hi = index.words[k], int(first[d]), int(first[d]) + counts[d]
                     q = max(0, lo - at)  # words of the item before the text begins
                     n = min(len(item) - q, hi - at - q)
-                    s, e, m = best_segment(np.array([a == b for a, b in zip(item[q : q + n], words[at + q : at + q + n])]))
-                    if m >= min(MIN_MATCHED, len(item)) and m >= MIN_IDENTITY * (e - s):
+                    equal = np.array([a == b for a, b in zip(item[q : q + n], words[at + q : at + q + n])])
+                    if len(item) in WHOLE:
+                        same = np.flatnonzero(equal).tolist()
+                        s, e, m = (same[0], same[-1] + 1, len(same)) if same else (0, 0, 0)
+                        near = m >= MIN_IDENTITY * len(item)
+                    else:
+                        s, e, m = best_segment(equal)
+                        near = m >= min(MIN_MATCHED, len(item)) and m >= MIN_IDENTITY * (e - s)
+                    if near:
                         best[d, k] = max(best.get((d, k), (0,)), (m, s - e, -(at + q + s - lo), -(q + s)))
                 rows = [(ids[i + d], index.ids[k], m, -neg, -p, -q) for (d, k), (m, neg, p, q) in sorted(best.items())]
                 if rows:

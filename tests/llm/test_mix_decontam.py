@@ -72,6 +72,24 @@ def test_op8_equals_brute_force(spark):
     assert decontam.contamination(df, b.limit(0)).count() == 0
 
 
+def test_op8_short_items_with_a_quarter_changed(spark):
+    rng = np.random.default_rng(6)
+    items, docs = [], []
+    for n in range(9, 18):
+        for k in range(6):
+            key = 10 * n + k
+            w = [f"i{key}w{j}" for j in range(n)]
+            items.append((key, " ".join(w)))
+            for d, changed in ((key, n // 4), (1000 + key, n // 4 + 1)):
+                for j in rng.choice(n, changed, replace=False):
+                    w[j] = "changed"
+                docs.append((d, " ".join(["before", *w, "after"])))
+                w = [f"i{key}w{j}" for j in range(n)]
+    df, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.matched) for r in decontam.contamination(df, b).collect()}
+    assert got == {(key, key, len(t.split()) - len(t.split()) // 4) for key, t in items}
+
+
 def test_op8_finds_whole_items(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
