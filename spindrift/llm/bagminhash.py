@@ -14,10 +14,11 @@ Bands of components give bucket keys. Texts of equal words are one node, so that
 cost a row each and no pair. Each node is first compared with two leaders of its buckets;
 the similarity of two whole texts decides. Connected nodes then share a label. Buckets of
 two nodes of different labels are pairs to compare, unless they were compared before; larger
-buckets that still hold different labels are joined to clusters; a cluster is cut into blocks of
-bounded size, and for each two blocks that hold different labels, one matrix product
-gives the overlaps of all their texts. Only links come out, one for two labels. A pair
-that shares a bucket is thus compared, or known to be in one class already.
+buckets that still hold different labels are cut into blocks of bounded size. For two blocks
+of a bucket, the signatures tell which pairs of different labels may be near (``FLOOR``);
+where these are few, they are verified one by one, and where they are many, one matrix
+product gives the overlaps of the blocks' whole texts, and only links come out, one for two
+labels. A pair that shares a bucket is thus compared, or known to be in one class already.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -38,8 +38,14 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: 32 bands of 4: a pair at 0.8 misses every band with probability 5e-8.
 BANDS, ROWS = 32, 4
 M = BANDS * ROWS
-#: Texts in a block of a cluster, and columns of a matrix product.
-BLOCK, COLUMNS = 512, 4096
+#: Components of M that must agree before texts are compared: 5 standard deviations below
+#: the mean at 0.8, which a pair at 0.8 misses with probability 2e-6.
+FLOOR = int(np.ceil(M * (THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / M) ** 0.5)))
+#: Nodes in a block of a bucket, columns of a matrix product, and likely pairs for a node of
+#: a pair of blocks beyond which the blocks' texts are compared there.
+BLOCK, COLUMNS, LINEAR = 512, 4096, 4
+#: Pairs of one node that a task verifies.
+HOT = 1000
 #: Document ids up to which they are broadcast to find texts; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 _U = np.uint64
@@ -149,9 +155,8 @@ def _likely(a, b):
     """False where so few components agree that 0.8 is out of the question (5 standard deviations)."""
     import pandas as pd
 
-    floor = M * (THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / M) ** 0.5)
     same = [int((np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)).sum()) for x, y in zip(a, b)]
-    return pd.Series([s >= floor for s in same], dtype=bool)
+    return pd.Series([s >= FLOOR for s in same], dtype=bool)
 
 
 def _texts(docs: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
@@ -195,6 +200,81 @@ def _links(group):
     return out.drop_duplicates(["la", "lb"])[["a", "b"]]
 
 
+def _blocks(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cut the buckets of ``marked`` (key, node, label) into blocks of about BLOCK nodes.
+
+    A label with many nodes in a bucket is a unit of its own, the other labels are one unit;
+    units are cut by a hash of the node, so that no task numbers a bucket. Returns the members
+    (key, unit, block, node, label) and the pairs of blocks that may hold different labels.
+    """
+    of_label = marked.groupBy("key", "label").agg(F.count("*").alias("c"))
+    of_label = of_label.withColumn("unit", F.when(F.col("c") > BLOCK // 2, F.col("label").cast("string")).otherwise(""))
+    units = materialize(of_label.groupBy("key", "unit").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("nb")), "units")
+    placed = marked.join(of_label.select("key", "label", "unit"), ["key", "label"]).join(units, ["key", "unit"])
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("nb")).cast("int"))
+    members = materialize(placed.select("key", "unit", "block", "node", "label"), "members")
+    other = units.withColumnsRenamed({"unit": "unit2", "nb": "nb2"})
+    both = units.join(other, "key").where("unit < unit2 or (unit = '' and unit2 = '')")
+    both = both.select("key", "unit", "unit2", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"), "nb2")
+    both = both.select("key", "unit", "unit2", "block", F.explode(F.sequence(F.lit(0), F.col("nb2") - 1)).alias("block2"))
+    pairs = materialize(both.where("unit <> unit2 or block <= block2"), "block-pairs")
+    release(units)
+    return members, pairs
+
+
+_PAIR = ["key", "unit", "block", "unit2", "block2"]
+
+
+def _sides(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The members of both blocks of each pair, with ``side``: 0, 1, or 2 where both are one block."""
+    same = F.col("unit").eqNullSafe(F.col("unit2")) & (F.col("block") == F.col("block2"))
+    first = F.struct(F.col("unit").alias("u"), F.col("block").alias("b"), F.when(same, 2).otherwise(0).alias("side"))
+    second = F.struct(F.col("unit2").alias("u"), F.col("block2").alias("b"), F.lit(1).alias("side"))
+    sides = pairs.select(*_PAIR, F.inline(F.when(same, F.array(first)).otherwise(F.array(first, second))))
+    return sides.join(members.select("key", F.col("unit").alias("u"), F.col("block").alias("b"), "node", "label"), ["key", "u", "b"]).drop("u", "b")
+
+
+def likely_pairs(sig: np.ndarray, label: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i, j of one pair of blocks, of different labels, whose signatures may be near."""
+    agree = np.zeros((len(sig), len(sig)), np.uint8)
+    for k in range(sig.shape[1]):
+        agree += sig[:, None, k] == sig[None, :, k]
+    ok = (agree >= FLOOR) & (label[:, None] != label[None, :])
+    ok &= (side[:, None] == 2) | (side[:, None] != side[None, :])
+    return np.nonzero(np.triu(ok, 1))
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """Likely pairs (a, b) of the blocks of ``rows``; a pair of blocks with more than LINEAR
+    of them for a node is named instead (a is null), so that what comes out stays linear."""
+
+    def judge(t: pa.Table) -> pa.RecordBatch:
+        node, label, side = (t.column(c).to_numpy() for c in ("node", "label", "side"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(node), M)
+        i, j = likely_pairs(sig, label, side)
+        name = [t.column(c)[0].as_py() for c in _PAIR]
+        n = 1 if len(i) > LINEAR * len(node) else len(i)
+        a, b = (pa.nulls(1, pa.int64()),) * 2 if n < len(i) else (pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])))
+        return pa.RecordBatch.from_arrays([a, b, *(pa.array([x] * n, f.type) for x, f in zip(name, (t.schema.field(c) for c in _PAIR)))], ["a", "b", *_PAIR])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            cols = [t.column(c).to_numpy() for c in _PAIR]
+            new = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in cols], axis=0)]) if t.num_rows else []
+            for lo, hi in zip(new[:-1], new[1:]):
+                yield judge(t.slice(lo, hi - lo).combine_chunks())
+            held = t.slice(new[-1]) if len(new) else held
+        if held is not None and held.num_rows:
+            yield judge(held.combine_chunks())
+
+    n = parts(rows.sparkSession)
+    dealt = rows.select(*_PAIR, "node", "label", "side", "sig").repartition(n, *_PAIR).sortWithinPartitions(*_PAIR, "node")
+    return dealt.mapInArrow(run, "a long, b long, key long, unit string, block int, unit2 string, block2 int")
+
+
 def _rest(crowded: DataFrame, label: DataFrame, star: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between nodes of different labels that share a bucket; ``star`` are the pairs (a, b) compared before."""
     marked = crowded.select("key", "node").distinct().join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
@@ -204,40 +284,46 @@ def _rest(crowded: DataFrame, label: DataFrame, star: DataFrame, sigs: DataFrame
     mixed = materialize(mixed.where("lo <> hi"), "mixed-keys")
     # the node of a bucket of two may have met other leaders only
     two_left = mixed.where("n = 2").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    two_links = _verify(two_left, sigs, docs, "two")
-    marked = materialize(marked.join(mixed.where("n > 2").select("key", "lo"), "key"), "mixed")
-    cluster = components(marked.select(F.col("label").alias("a"), F.col("lo").alias("b")).where("a <> b"))
-    members = marked.select("node", "label").distinct().join(cluster.withColumnsRenamed({"label": "cluster", "node": "label"}), "label")
-    place = F.row_number().over(W.partitionBy("cluster").orderBy("label", "node"))
-    members = materialize(members.withColumn("block", F.floor((place - 1) / BLOCK).cast("int")), "members")
-    blocks = members.groupBy("cluster", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    other = blocks.withColumnsRenamed({"block": "block2", "lo": "lo2", "hi": "hi2"})
-    two = blocks.join(other, "cluster").where("block <= block2 and not (lo = hi and lo2 = hi2 and lo = lo2)").select("cluster", "block", "block2")
-    sides = two.select("cluster", "block", "block2", F.explode(F.array_distinct(F.array("block", "block2"))).alias("side"))
-    texts = _texts(docs, members.select(F.col("node").alias("doc_id")).distinct(), "rest-texts")
-    rows = members.join(texts.withColumnRenamed("doc_id", "node"), "node").withColumnRenamed("block", "side").join(sides, ["cluster", "side"])
-    found = rows.select("cluster", "block", "block2", "node", "label", "text").groupBy("cluster", "block", "block2").applyInPandas(_links, "a long, b long")
-    out = materialize(found.union(two_links), "rest")
-    release(mixed, two_links, marked, cluster, members, texts)
+    marked = materialize(marked.join(mixed.where("n > 2").select("key"), "key"), "mixed")
+    members, pairs = _blocks(marked)
+    found = materialize(_candidates(_sides(members, pairs).join(sigs.select("node", "sig"), "node")), "candidates")
+    few = found.where("a is not null").select(F.col("b").alias("a"), F.col("a").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    links = _verify(two_left.union(few).distinct(), sigs, docs, "two")
+    # many pairs of one pair of blocks are compared there, on their whole texts
+    dense = _sides(members, found.where("a is null").select(*_PAIR))
+    texts = _texts(docs, dense.select(F.col("node").alias("doc_id")).distinct(), "rest-texts")
+    rows = dense.join(texts.withColumnRenamed("doc_id", "node"), "node")
+    out = materialize(rows.select(*_PAIR, "node", "label", "text").groupBy(*_PAIR).applyInPandas(_links, "a long, b long").union(links), "rest")
+    release(mixed, links, marked, members, pairs, found, texts)
     return out
 
 
 def _verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole texts are near."""
+    """The pairs (a, b) of nodes whose whole texts are near. The pairs of a node b with many
+    go to several tasks, each with its own copy of the node's signature and text."""
+    pairs = materialize(pairs, tag + "-all")
+    many = materialize(pairs.groupBy("b").agg(F.ceil(F.count("*") / HOT).cast("int").alias("k")).where("k > 1"), tag + "-many")
+    small = many.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    side = F.broadcast(many) if small else many
+    salted = pairs.join(side, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("k", F.lit(1))).cast("int").alias("salt"))
+
+    def of_b(rows: DataFrame) -> DataFrame:
+        return rows.join(side, "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).drop("k")
+
     sig = sigs.select("node", "sig")
     likely = (
-        pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "sb"}), "b")
-        .where(_likely("sa", "sb")).select("a", "b")
+        salted.join(sig.withColumnsRenamed({"node": "a", "sig": "sa"}), "a").join(of_b(sig.withColumnsRenamed({"node": "b", "sig": "sb"})), ["b", "salt"])
+        .where(_likely("sa", "sb")).select("a", "b", "salt")
     )
     likely = materialize(likely, tag + "-pairs")
     need = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
     texts = _texts(docs, need, tag + "-texts")
     near = (
-        likely.join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b")
-        .where(_near("ta", "tb")).select("a", "b")
+        likely.join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a")
+        .join(of_b(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"})), ["b", "salt"]).where(_near("ta", "tb")).select("a", "b")
     )
     out = materialize(near, tag)
-    release(likely, texts)
+    release(pairs, many, likely, texts)
     return out
 
 
