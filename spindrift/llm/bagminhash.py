@@ -14,8 +14,9 @@ Bands of components give bucket keys. Texts of equal words are one node, so that
 cost a row each and no pair. Each node is first compared with two leaders of its buckets;
 the similarity of two whole texts decides. Connected nodes then share a label. Buckets of
 two nodes of different labels are pairs to compare, unless they were compared before; larger
-buckets that still hold different labels are cut into blocks of bounded size. For two blocks
-of a bucket, the signatures tell which pairs of different labels may be near (``FLOOR``);
+buckets that still hold different labels are taken together where they hang together and
+have ``TOGETHER`` nodes at most, else one by one, and are cut into blocks of bounded size. For two blocks
+of a group, the signatures tell which pairs of different labels may be near (``FLOOR``);
 where these are few, they are verified one by one, and where they are many, one matrix
 product gives the overlaps of the blocks' whole texts, and only links come out, one for two
 labels. A pair that shares a bucket is thus compared, or known to be in one class already.
@@ -44,6 +45,9 @@ FLOOR = int(np.ceil(M * (THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / M) ** 0.
 #: Nodes in a block of a bucket, columns of a matrix product, and likely pairs for a node of
 #: a pair of blocks beyond which the blocks' texts are compared there.
 BLOCK, COLUMNS, LINEAR = 512, 4096, 4
+#: Nodes of buckets that hang together which are compared as one group; the buckets of more
+#: are compared each by itself, so that work follows the buckets and not their connection.
+TOGETHER = 16 * BLOCK
 #: Pairs of one node that a task verifies.
 HOT = 1000
 #: Document ids up to which they are broadcast to find texts; beyond, the join shuffles.
@@ -284,8 +288,14 @@ def _rest(crowded: DataFrame, label: DataFrame, star: DataFrame, sigs: DataFrame
     mixed = materialize(mixed.where("lo <> hi"), "mixed-keys")
     # the node of a bucket of two may have met other leaders only
     two_left = mixed.where("n = 2").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    marked = materialize(marked.join(mixed.where("n > 2").select("key"), "key"), "mixed")
-    members, pairs = _blocks(marked)
+    marked = materialize(marked.join(mixed.where("n > 2").select("key", "lo"), "key"), "mixed")
+    # buckets that hang together are one group as long as that is small, and stay apart beyond
+    cluster = components(marked.select(F.col("label").alias("a"), F.col("lo").alias("b")).where("a <> b"))
+    grouped = marked.join(cluster.withColumnsRenamed({"node": "label", "label": "cluster"}), "label")
+    small = grouped.select("cluster", "node").distinct().groupBy("cluster").agg((F.count("*") <= TOGETHER).alias("small"))
+    grouped = grouped.join(small, "cluster").select(F.when(F.col("small"), F.xxhash64("cluster")).otherwise(F.col("key")).alias("key"), "node", "label")
+    grouped = materialize(grouped.distinct(), "groups")
+    members, pairs = _blocks(grouped)
     found = materialize(_candidates(_sides(members, pairs).join(sigs.select("node", "sig"), "node")), "candidates")
     few = found.where("a is not null").select(F.col("b").alias("a"), F.col("a").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     links = _verify(two_left.union(few).distinct(), sigs, docs, "two")
@@ -294,7 +304,7 @@ def _rest(crowded: DataFrame, label: DataFrame, star: DataFrame, sigs: DataFrame
     texts = _texts(docs, dense.select(F.col("node").alias("doc_id")).distinct(), "rest-texts")
     rows = dense.join(texts.withColumnRenamed("doc_id", "node"), "node")
     out = materialize(rows.select(*_PAIR, "node", "label", "text").groupBy(*_PAIR).applyInPandas(_links, "a long, b long").union(links), "rest")
-    release(mixed, links, marked, members, pairs, found, texts)
+    release(mixed, links, marked, cluster, grouped, members, pairs, found, texts)
     return out
 
 

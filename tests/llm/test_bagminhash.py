@@ -100,12 +100,13 @@ def test_two_node_bucket_of_a_passed_over_leader(spark):
     assert sorted(tuple(r) for r in bmh.classes(df).collect()) == brute(rows) == [(1, 1), (2, 2), (3, 2)]
 
 
-@pytest.mark.parametrize("block,linear,hot", [(4, 0, 2), (8, 2, 3)])
-def test_blocks_of_crowded_buckets(spark, monkeypatch, block, linear, hot):
+@pytest.mark.parametrize("block,linear,hot,together", [(4, 0, 2, 10), (8, 2, 3, 100)])
+def test_blocks_of_crowded_buckets(spark, monkeypatch, block, linear, hot, together):
     """Families of texts at 0.6 to 0.9, in small blocks: by pairs, by whole blocks, and by salted leaders."""
     monkeypatch.setattr(bmh, "BLOCK", block)
     monkeypatch.setattr(bmh, "LINEAR", linear)
     monkeypatch.setattr(bmh, "HOT", hot)
+    monkeypatch.setattr(bmh, "TOGETHER", together)
     rng = np.random.default_rng(block)
     rows = []
     for family in range(4):
