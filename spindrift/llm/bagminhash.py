@@ -291,7 +291,7 @@ def _rest(crowded: DataFrame, label: DataFrame, star: DataFrame, sigs: DataFrame
     marked = materialize(marked.join(mixed.where("n > 2").select("key", "lo"), "key"), "mixed")
     # buckets that hang together are one group as long as that is small, and stay apart beyond
     cluster = components(marked.select(F.col("label").alias("a"), F.col("lo").alias("b")).where("a <> b"))
-    grouped = marked.join(cluster.withColumnsRenamed({"node": "label", "label": "cluster"}), "label")
+    grouped = marked.join(cluster.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label")
     small = grouped.select("cluster", "node").distinct().groupBy("cluster").agg((F.count("*") <= TOGETHER).alias("small"))
     grouped = grouped.join(small, "cluster").select(F.when(F.col("small"), F.xxhash64("cluster")).otherwise(F.col("key")).alias("key"), "node", "label")
     grouped = materialize(grouped.distinct(), "groups")
