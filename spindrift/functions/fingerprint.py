@@ -68,13 +68,14 @@ def signed(v: int) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
-def fingerprint_column(values: list[bytes], poly: int, degree: int) -> np.ndarray:
-    """Signed fingerprints of many strings, one vector step per byte place."""
+def fingerprint_column(values: list[bytes], poly: int, degree: int, seeds: np.ndarray | None = None) -> np.ndarray:
+    """Signed fingerprints of many strings, one vector step per byte place; ``seeds`` are
+    former values to extend."""
     empty, step, low = tables(poly, degree)
     step = np.array(step, np.uint64)
     size = np.array([len(v) for v in values], np.int64)
     order = np.argsort(-size, kind="stable")
-    f = np.full(len(values), empty, np.uint64)
+    f = np.full(len(values), empty, np.uint64) if seeds is None else seeds.view(np.uint64)[order]
     flat = np.frombuffer(b"".join(values[i] for i in order), np.uint8)
     size = size[order]
     first = np.cumsum(size) - size
@@ -102,8 +103,7 @@ def _udf(poly: int, degree: int, charwise: bool):
         out[s.isna().to_numpy()] = pd.NA
         return out
 
-    # so marked, it is evaluated once per row and not again in filters inferred from joins
-    return F.pandas_udf(run, "long").asNondeterministic()
+    return F.pandas_udf(run, "long")
 
 
 def frontier_id(url: Column | str) -> Column:
@@ -116,6 +116,23 @@ def fingerprint_charwise(text: Column | str) -> Column:
     return _udf(POLY64, DEGREE64, True)(text)
 
 
+def fingerprint_32(text: Column | str) -> Column:
+    """Degree-32 fingerprint, left-aligned in 64 bits."""
+    return _udf(POLY32, DEGREE32, False)(text)
+
+
+def extend(value: Column, text: Column) -> Column:
+    """The 64-bit fingerprint of a string and ``text`` after it, from the ``value`` of the
+    string; null where either is null."""
+    @F.pandas_udf("long")
+    def run(f, s):
+        import pandas as pd
+
+        return pd.Series(fingerprint_column([x.encode() for x in s], POLY64, DEGREE64, f.to_numpy()))
+
+    return F.when(value.isNotNull() & text.isNotNull(), run(F.coalesce(value, F.lit(0).cast("long")), F.coalesce(text, F.lit(""))))
+
+
 def host_hash(prefix: Column | str) -> Column:
     """Degree-31 hash of a domain prefix, left-aligned in 64 bits."""
     return _udf(POLY31, DEGREE31, False)(prefix)
@@ -138,17 +155,23 @@ def duck_tables() -> str:
     return "tb AS (SELECT " + ", ".join(cols) + ")"
 
 
-def _duck_raw(expr: str, kind: str) -> str:
+def _duck_raw(expr: str, kind: str, charwise: bool = False) -> str:
+    byte = f"('0x' || substr(hex(encode({expr})), (2 * i - 1)::INT, 2))::UBIGINT"
+    items = f"list_transform(range(1, octet_length(encode({expr})) + 1), lambda i: {f'[{byte}, 0::UBIGINT]' if charwise else byte})"
     return (
-        f"list_reduce(list_prepend(e{kind}, list_transform(range(1, octet_length(encode({expr})) + 1), "
-        f"lambda i: ('0x' || substr(hex(encode({expr})), (2 * i - 1)::INT, 2))::UBIGINT)), "
+        f"list_reduce(list_prepend(e{kind}, {f'flatten({items})' if charwise else items}), "
         f"lambda f, v: xor(f >> 8, t{kind}[(xor(f, v) & 255)::BIGINT + 1]))"
     )
 
 
-def duck_id(expr: str) -> str:
+def duck_unsigned(expr: str, charwise: bool = False) -> str:
+    """DuckDB expression of the unsigned 64-bit fingerprint (charwise: of ASCII text)."""
+    return _duck_raw(expr, "64", charwise)
+
+
+def duck_id(expr: str, charwise: bool = False) -> str:
     """DuckDB expression of :func:`frontier_id`; ``tb`` must be in scope."""
-    raw = _duck_raw(expr, "64")
+    raw = _duck_raw(expr, "64", charwise)
     return f"(CASE WHEN {raw} >= 9223372036854775808::UBIGINT THEN ({raw}::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE {raw}::BIGINT END)"
 
 

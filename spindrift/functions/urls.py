@@ -6,69 +6,68 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spindrift.functions import fingerprint as fp
-from spindrift.functions.suffixes import RULES, of_kind
+from spindrift.functions.suffixes import registered
 
 SCHEMES = ["http", "https", "ftp"]
+_NETLOC = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 
 
 def host(url: Column) -> Column:
-    """Network location without user information and port; empty where there is none."""
-    netloc = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
-    return F.regexp_replace(F.regexp_replace(netloc, r"^.*@", ""), r":.*$", "")
+    """Network location without user information and port; empty where there is none. A
+    bracketed address keeps its colons."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_extract(url, _NETLOC, 1), r"^.*@", ""), r":\d+$", "")
 
 
-def domain_prefix(url: Column, rules: list[tuple[str, str]] = RULES) -> Column:
+def domain_prefix(url: Column, rules: list[tuple[str, str]] | None = None) -> Column:
     """Reversed registered domain with a comma after each label.
 
     Hosts of one label, with a label that is not ASCII word characters or hyphens, or
     that begin with a dotted quad, are returned as they are. Case is kept.
     """
-    def known(kind: str, key: Column) -> Column:
-        return F.array_contains(F.array(*(F.lit(x) for x in of_kind(kind, rules))), F.lower(key)) if of_kind(kind, rules) else F.lit(False)
-
-    def first(r: Column, k) -> Column:
-        return F.array_join(F.slice(r, 1, k), ",")
-
-    def reduced(r: Column) -> Column:
-        ks = F.sequence(F.lit(1), F.least(F.size(r) - 1, F.lit(5)))
-        fits = F.filter(ks, lambda k: (k == 1) | known("normal", first(r, k)) | ((k > 1) & known("wildcard", first(r, F.greatest(k - 1, F.lit(1))))))
-        excepted = F.array_min(F.filter(ks, lambda k: known("exception", first(r, k + 1))))
-        return F.concat(first(r, F.coalesce(excepted, F.array_max(fits)) + 1), F.lit(","))
-
     h = host(url)
-    plain = h.rlike(r"^[-\w]+(\.[-\w]+)+$") & ~h.rlike(r"^\d+\.\d+\.\d+\.\d+")
-    labels = F.transform(F.array(F.reverse(F.split(h, r"\."))), reduced)[0]
-    return F.when(plain, labels).otherwise(h)
+    plain = h.rlike(r"^[-\w]+(\.[-\w]+)+$") & ~h.rlike(r"^\d+(\.\d+){3}")
+    return F.when(plain, registered(F.reverse(F.split(h, r"\.")), rules)).otherwise(h)
 
 
-_SURT = r"^([A-Za-z][A-Za-z0-9+\-.]*://)(?:([^/?#@]*)@)?([^/?#:@]*)(:\d+)?(.*)$"
+#: Fixed value: scheme, user information, address or name, port, and path of a URL.
+_SURT = r"^(\w+://)(?:([-\w.!~*'()%;:&=+$,]+?)@)?(?:((?:\d{1,3}\.){3}\d{1,3})|(\S+?))(:\d+)?(/\S*)?$"
 
 
 def surt_form(url: Column, preserve_case: bool = False) -> Column:
-    """``scheme://(reversed,host,[:port][@user])rest``; addresses keep their order."""
-    part = [F.regexp_extract(url, _SURT, i) for i in range(1, 6)]
-    quad = part[2].rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    name = F.when(quad, part[2]).otherwise(F.concat(F.array_join(F.reverse(F.split(part[2], r"\.")), ","), F.lit(",")))
-    user = F.when(part[1] != "", F.concat(F.lit("@"), part[1])).otherwise("")
-    out = F.concat(part[0], F.lit("("), name, part[3], user, F.lit(")"), part[4])
-    out = out if preserve_case else F.lower(out)
-    return F.when(url.rlike(_SURT) & (part[2] != ""), out).otherwise(url)
+    """``scheme://(reversed,host,[:port][@user])path``; addresses keep their order. What has
+    another form, as a string with spaces, is returned as it is."""
+    scheme, user, quad, name, port, path = (F.regexp_extract(url, _SURT, i) for i in range(1, 7))
+    turned = F.when(quad != "", quad).otherwise(F.concat(F.array_join(F.reverse(F.split(name, r"\.")), ","), F.lit(",")))
+    at = F.when(user != "", F.concat(F.lit("@"), user)).otherwise("")
+    out = F.concat(scheme, F.lit("("), turned, port, at, F.lit(")"), path)
+    return F.when(url.rlike(_SURT), out if preserve_case else F.lower(out)).otherwise(url)
 
 
 def surt_authority(surt: Column) -> Column:
-    """What stands between ``(`` and ``)``; ``default...`` for four characters or fewer."""
-    inner = F.regexp_extract(surt, r"\(([^)]*)\)", 1)
-    return F.when(F.length(inner) <= 4, F.lit("default...")).otherwise(inner)
+    """What stands between ``://(`` and the next ``)``; ``default...`` where that is empty,
+    null where a mark is missing."""
+    inner = F.regexp_extract(surt, r"://\(([^)]*)\)", 1)
+    return F.when(surt.rlike(r"://\([^)]*\)"), F.when(inner == "", "default...").otherwise(inner))
 
 
 def core_key(url: Column) -> Column:
     return F.replace(surt_authority(surt_form(url)), F.lit(":"), F.lit("#"))
 
 
-def legacy_bucket(key: Column, buckets: int) -> Column:
-    """Magnitude of the character-wise fingerprint, modulo the number of buckets."""
-    f = fp.fingerprint_charwise(key)
-    return F.pmod(F.when(f < 0, -f).otherwise(f), F.lit(buckets)).cast("int")
+def reduced_key(key: Column, rules: list[tuple[str, str]] | None = None) -> Column:
+    """A core key cut to its registered domain; keys of one label, and addresses, as they are."""
+    labels = F.regexp_extract(key, r"^((?:[-\w]+,){2,})", 1)
+    cut = registered(F.slice(F.split(labels, ","), 1, F.size(F.split(labels, ",")) - 1), rules)
+    return F.when(labels != "", cut).otherwise(key)
+
+
+def legacy_bucket(key: Column, buckets: int, rules: list[tuple[str, str]] | None = None) -> Column:
+    """Bucket of a core key: the key is cut to its registered domain; the magnitude of its
+    character-wise fingerprint is taken modulo the number of buckets."""
+    f = fp.fingerprint_charwise(reduced_key(key, rules))
+    # the least long has no magnitude among longs: 2^63 mod n
+    least = F.lit((1 << 63) % buckets)
+    return F.when(f == F.lit(-(1 << 63)), least).otherwise(F.abs(f) % buckets).cast("int")
 
 
 def priority(path: Column) -> Column:
@@ -85,21 +84,63 @@ def with_default_scheme(url: Column) -> Column:
     return F.when(url.rlike("^https?://"), url).otherwise(F.concat(F.lit("http://"), url))
 
 
-def split_key(url: Column, limit: int = 790) -> Column:
-    """Long URLs in two parts, the second with the signed fingerprint of the whole."""
-    return F.struct(F.substring(url, 1, limit).alias("u1"), F.when(F.length(url) > limit, F.expr(f"substring({_name(url)}, {limit + 1})")).otherwise("").alias("u2"))
+#: Characters of the first part of a long URL, and of a part that is hashed.
+LONG_URL, LONG_PART = 790, 800
+
+
+def _hex(f: Column) -> Column:
+    """``#`` and the unsigned value in lower-case hexadecimal digits."""
+    return F.concat(F.lit("#"), F.lower(F.hex(f)))
+
+
+def split_key(url: Column, limit: int = LONG_URL) -> Column:
+    """Key (u1, u2, h) of a URL: of a long one, the first ``limit`` characters, the rest, and
+    the 32-bit fingerprint of the rest; else the URL, null and the empty string."""
+    long = F.length(url) > limit
+    rest = F.when(long, F.substr(url, F.lit(limit + 1)))
+    h = F.when(long, _hex(F.shiftrightunsigned(fp.fingerprint_32(F.coalesce(rest, F.lit(""))), 32))).otherwise("")
+    return F.when(url.isNotNull(), F.struct(F.substring(url, 1, limit).alias("u1"), rest.alias("u2"), h.alias("h")))
 
 
-def _name(c: Column) -> str:
-    return c._jc.toString()
+def joined_url(key: Column) -> Column:
+    """The URL of a key of :func:`split_key`."""
+    return F.concat(key["u1"], F.coalesce(key["u2"], F.lit("")))
 
 
 def shard_hash(url: Column) -> Column:
     """Degree-31 hash of the host between ``://`` and the next slash, as a small integer."""
-    return F.shiftrightunsigned(fp.host_hash(F.regexp_extract(url, "://([^/]*)", 1)), 33)
+    return F.shiftrightunsigned(fp.host_hash(F.regexp_extract(url, "^.+?://([^/]*)", 1)), 33)
+
+
+def lookup_key(url: Column) -> Column:
+    """(fp, u1, h): what a sharded store is asked for."""
+    k = split_key(url)
+    return F.struct(shard_hash(url).alias("fp"), k["u1"].alias("u1"), k["h"].alias("h"))
+
+
+def key_parts(url: Column, limit: int = LONG_PART) -> Column:
+    """Scheme, host, path and query; a path or query of ``limit`` characters or more is
+    replaced by its 64-bit fingerprint, and stands in ``long_path`` or ``long_query``."""
+    part = [F.coalesce(F.regexp_extract(url, r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?", i), F.lit("")) for i in range(1, 5)]
+
+    def short(x: Column) -> Column:
+        return F.when(F.length(x) < limit, x).otherwise(_hex(fp.frontier_id(x)))
+
+    def whole(x: Column) -> Column:
+        return F.when(F.length(x) >= limit, x)
+
+    return F.struct(F.lower(part[0]).alias("scheme"), part[1].alias("host"), short(part[2]).alias("path"), short(part[3]).alias("query"),
+                    whole(part[2]).alias("long_path"), whole(part[3]).alias("long_query"))
+
+
+def url_of_parts(key: Column) -> Column:
+    """The URL, without fragment, of a key of :func:`key_parts`."""
+    query = F.coalesce(key["long_query"], key["query"])
+    return F.concat(F.when(key["scheme"] != "", F.concat(key["scheme"], F.lit(":"))).otherwise(""),
+                    F.when(key["host"] != "", F.concat(F.lit("//"), key["host"])).otherwise(""),
+                    F.coalesce(key["long_path"], key["path"]), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
-def key_parts(url: Column) -> Column:
-    """Scheme, host, path and query of a URL."""
-    return F.struct(*(F.coalesce(F.regexp_extract(url, r"^([^:/?#]+)://([^/?#]*)([^?#]*)(?:\?([^#]*))?", i), F.lit("")).alias(n)
-                      for i, n in enumerate(("scheme", "host", "path", "query"), 1)))
+def hashed_key(url: Column) -> Column:
+    """(h, u): the 64-bit fingerprint of a URL in hexadecimal digits, and the URL."""
+    return F.struct(_hex(fp.frontier_id(url)).alias("h"), url.alias("u"))

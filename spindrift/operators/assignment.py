@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from spindrift.functions import fingerprint as fp
 from spindrift.functions import urls
 from spindrift.schemas import WORKSETS
 
 
-def with_workset(rows: DataFrame, url: str = "u", bits: int = fp.WORKSET_BITS) -> DataFrame:
-    """Append ``prefix`` and ``ws``; null URLs have neither.
-
-    The hash runs as a map over Arrow batches and not as a column function: joins on ``ws``
-    then infer no filter that would evaluate it a second time.
-    """
-    x = rows.drop("ws").withColumn("prefix", urls.domain_prefix(F.col(url)))
-    schema = StructType([*x.schema.fields, StructField("ws", IntegerType())])
-    at = x.columns.index("prefix")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values = b.column(at).to_pylist()
-            h = fp.fingerprint_column([(v or "").encode() for v in values], fp.POLY31, fp.DEGREE31).view(np.uint64)
-            ws = pa.array((h >> np.uint64(64 - bits)).astype(np.int32), mask=np.array([v is None for v in values], bool))
-            yield pa.RecordBatch.from_arrays([*b.columns, ws], [*b.schema.names, "ws"])
-
-    return x.mapInArrow(run, schema)
+def with_workset(rows: DataFrame, url: str = "u", bits: int = fp.WORKSET_BITS, rules: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Append ``prefix`` and ``ws``; null URLs have neither. Only the prefix goes through Python."""
+    return rows.drop("ws").withColumn("prefix", urls.domain_prefix(F.col(url), rules)).withColumn("ws", fp.workset("prefix", bits))
 
 
 def default_wscl(spark: SparkSession, clients: int, worksets: int = WORKSETS) -> DataFrame:
@@ -68,11 +48,25 @@ def server_clients(clients: DataFrame, servers: int) -> DataFrame:
 
 
 def distribute(rows: DataFrame, wscl: DataFrame, servers: int) -> DataFrame:
-    """Discovered rows with the server that owns them; one exchange, on the server."""
+    """Discovered rows with the client and server that own them. No row moves here: a sink
+    that wants a server's rows together repartitions by ``server``."""
     owned = with_workset(rows).join(F.broadcast(wscl), "ws")
     return owned.withColumn("server", server_of(F.col("ws"), servers))
 
 
+def channels(owned: DataFrame, servers: int, files: int = 1) -> DataFrame:
+    """Rows of :func:`distribute` dealt to ``files`` partitions of each server, so that a
+    server with most of the rows is not one task."""
+    salted = owned.withColumn("_salt", F.pmod(F.xxhash64("u"), F.lit(files)))
+    return salted.repartition(servers * files, "server", "_salt").drop("_salt")
+
+
+def locate(rows: DataFrame, wscl: DataFrame, servers: DataFrame, n_servers: int) -> DataFrame:
+    """Workset, client and server (server, name) of URLs; name is null for a server that is not there."""
+    placed = with_workset(rows.withColumn("u", urls.with_default_scheme(F.col("u")))).join(F.broadcast(wscl), "ws", "left")
+    return placed.withColumn("server", server_of(F.col("ws"), n_servers)).join(F.broadcast(servers), "server", "left")
+
+
 def shuffle_targets(diverted: DataFrame, me: int, alive: DataFrame, servers: int) -> DataFrame:
     """Diverted rows (ws) that go to another, living server."""
     return diverted.withColumn("server", server_of(F.col("ws"), servers)).where(F.col("server") != me).join(alive, "server", "left_semi")

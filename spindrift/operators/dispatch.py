@@ -74,15 +74,22 @@ def merge_union(rows: DataFrame, seen: DataFrame) -> DataFrame:
     return old.union(new).groupBy("key").agg(F.min_by("ts", F.struct("_new", -F.col("ts"))).alias("ts"))
 
 
-def counters(routed: DataFrame, scheduled: DataFrame) -> DataFrame:
-    """processed = excluded + saved + scheduled + seen, in one row."""
-    a = routed.agg(
-        F.count("*").alias("processed"),
-        F.count_if(F.col("route") == "excluded").alias("excluded"),
-        F.count_if(F.col("route") == "saved").alias("saved"),
-    )
-    b = scheduled.agg(F.count("*").alias("scheduled"))
-    return a.join(F.broadcast(b)).withColumn("seen", F.expr("processed - excluded - saved - scheduled"))
+def counters(routed: DataFrame, seen: DataFrame, strict: bool = False) -> DataFrame:
+    """processed = excluded + saved + scheduled + seen, in one row and one pass over ``routed``.
+
+    Scheduled are the distinct ids of candidates that the seen set lacks, and, unless
+    ``strict``, every forced candidate.
+    """
+    known = seen.select(F.col("key").alias("id"), F.lit(True).alias("_known"))
+    forced = F.lit(False) if strict or "f" not in routed.columns else F.coalesce("f", F.lit(0)) != 0
+    candidate = F.col("route") == "candidate"
+    fresh = candidate & ~forced & F.col("_known").isNull()
+    per_id = routed.join(known, "id", "left").groupBy("id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("route") == "excluded").alias("excluded"), F.count_if(F.col("route") == "saved").alias("saved"),
+        F.count_if(candidate & forced).alias("forced"), F.max(fresh.cast("int")).alias("fresh"))
+    total = {c: F.coalesce(F.sum(x), F.lit(0)).cast("long") for c, x in (("processed", "n"), ("excluded", "excluded"), ("saved", "saved"))}
+    total["scheduled"] = F.coalesce(F.sum(F.col("forced") + F.col("fresh")), F.lit(0)).cast("long")
+    return per_id.agg(*(x.alias(c) for c, x in total.items())).withColumn("seen", F.expr("processed - excluded - saved - scheduled"))
 
 
 def seen_record(keys: DataFrame) -> DataFrame:

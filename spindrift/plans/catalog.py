@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import fingerprint as fp
 from spindrift.functions import suffixes, urls
-from spindrift.operators import assignment, dispatch, feed, seen, status
+from spindrift.operators import assignment, dispatch, feed, jobs, seen, status
 from spindrift.operators.domains import with_domain_info
 from spindrift.plans import views as v
 from spindrift.plans.views import SQL
@@ -43,7 +43,7 @@ def q(*parts: str, body: str) -> str:
 
 
 TB = fp.duck_tables()
-PREFIXED = r"""px AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1), '^.*@', ''), ':.*$', '') AS h FROM {src}),
+PREFIXED = r"""px AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]+$', '') AS h FROM {src}),
 pr AS (SELECT * REPLACE (CASE WHEN regexp_matches(h, '^[-\w]+(\.[-\w]+)+$') AND NOT regexp_matches(h, '^\d+\.\d+\.\d+\.\d+')
   THEN array_to_string(r[1:coalesce(list_min(list_filter(ks, lambda k: list_contains({exc}, lower(array_to_string(r[1:k+1], ','))))),
     list_max(list_filter(ks, lambda k: k = 1 OR list_contains({nor}, lower(array_to_string(r[1:k], ','))) OR (k > 1 AND list_contains({wil}, lower(array_to_string(r[1:k-1], ','))))))) + 1], ',') || ','
@@ -70,12 +70,14 @@ def url_fingerprint(s, d):
     return v.pages(s, d).select("seq", "u", fp.frontier_id("u").alias("id"))
 
 
-@query()
+@query(q("pg", TB, body=f"SELECT seq, {fp.duck_id('u', charwise=True)} AS id16 FROM pg, tb"))
 def fingerprint_charwise(s, d):
     return v.pages(s, d).select("seq", fp.fingerprint_charwise("u").alias("id16"))
 
 
-@query()
+# these hosts are under example.com, .net and .org: two labels are the registered domain
+@query(q("pg", TB, r"hk AS (SELECT seq, array_to_string(list_reverse(string_split(regexp_extract(u, '^[a-z]+://([^/:?#]+)', 1), '.'))[1:2], ',') || ',' AS key FROM pg)",
+         body=f"SELECT seq, (least(h, 18446744073709551616 - h) % 20)::INT AS bucket FROM (SELECT seq, {fp.duck_unsigned('key', charwise=True)}::HUGEINT AS h FROM hk, tb)"))
 def legacy_bucket_map(s, d):
     return v.pages(s, d).select("seq", urls.legacy_bucket(urls.core_key(F.col("u")), 20).alias("bucket"))
 
@@ -86,8 +88,9 @@ def domain_prefix(s, d):
     return rows.select("seq", "u", urls.domain_prefix(F.col("u")).alias("prefix"))
 
 
-SURT = r"""su AS (SELECT *, lower(s || '(' || CASE WHEN regexp_matches(h, '^\d{1,3}(\.\d{1,3}){3}$') THEN h ELSE array_to_string(list_reverse(string_split(h, '.')), ',') || ',' END
-  || o || CASE WHEN a <> '' THEN '@' || a ELSE '' END || ')' || t) AS surt FROM (SELECT *, regexp_extract(u, RX, 1) AS s, regexp_extract(u, RX, 2) AS a, regexp_extract(u, RX, 3) AS h, regexp_extract(u, RX, 4) AS o, regexp_extract(u, RX, 5) AS t FROM pg))""".replace("RX", "'" + urls._SURT + "'")
+# written for what the pages have: no user information, no spaces
+SURT = r"""su AS (SELECT seq, lower(regexp_extract(u, '^([a-z]+://)', 1) || '(' || array_to_string(list_reverse(string_split(regexp_extract(u, '^[a-z]+://([^/:]*)', 1), '.')), ',') || ','
+  || regexp_extract(u, '^[a-z]+://[^/:]*(:[0-9]+)?', 1) || ')' || regexp_extract(u, '^[a-z]+://[^/]*(/.*)?$', 1)) AS surt FROM pg)"""
 
 
 @query(q("pg", SURT, body="SELECT seq, surt FROM su"))
@@ -95,7 +98,7 @@ def surt_form(s, d):
     return v.pages(s, d).select("seq", urls.surt_form(F.col("u")).alias("surt"))
 
 
-@query(q("pg", SURT, body=r"SELECT seq, replace(CASE WHEN length(regexp_extract(surt, '\(([^)]*)\)', 1)) <= 4 THEN 'default...' ELSE regexp_extract(surt, '\(([^)]*)\)', 1) END, ':', '#') AS core FROM su"))
+@query(q("pg", SURT, body="SELECT seq, replace(CASE WHEN surt LIKE '%://()%' THEN 'default...' ELSE split_part(split_part(surt, '://(', 2), ')', 1) END, ':', '#') AS core FROM su"))
 def surt_core_key(s, d):
     return v.pages(s, d).select("seq", urls.core_key(F.col("u")).alias("core"))
 
@@ -120,25 +123,26 @@ def priority_assign(s, d):
 
 @query(q("pg", body=r"SELECT seq, regexp_extract(u, '^([^:/?#]+)://', 1) AS scheme, regexp_extract(u, '^[^:/?#]+://([^/?#]*)', 1) AS host, regexp_extract(u, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '^[^?#]+\?([^#]*)', 1) AS query FROM pg"))
 def url_key_parts(s, d):
-    return v.pages(s, d).select("seq", urls.key_parts(F.col("u")).alias("k")).select("seq", "k.*")
+    k = v.pages(s, d).select("seq", urls.key_parts(F.col("u")).alias("k"))
+    return k.select("seq", "k.scheme", "k.host", "k.path", "k.query")
 
 
 # assignment
 
-@query(f"SELECT i::INT AS ws, (i % {v.CLIENTS})::INT AS client FROM range(256) t(i)")
+@query(q("jb", body="SELECT name, ws, client FROM jb"))
 def wscl_default(s, d):
-    return assignment.default_wscl(s, v.CLIENTS)
+    return assignment.explode_wscl(assignment.valid_wscl(v.jobs(s, d))).select("name", "ws", "client")
 
 
-@query(f"SELECT (i % {v.CLIENTS})::INT AS client, string_agg(i::VARCHAR, ',' ORDER BY i) AS worksets FROM range(256) t(i) GROUP BY 1")
+@query(q("jb", body="SELECT client, string_agg(ws::VARCHAR, ',' ORDER BY ws) AS worksets FROM jb WHERE name = 'europe' GROUP BY 1"))
 def client_worksets(s, d):
-    out = assignment.client_worksets(assignment.default_wscl(s, v.CLIENTS))
+    out = assignment.client_worksets(jobs.get_job(v.jobs(s, d), "europe"))
     return out.select("client", F.array_join(F.col("worksets").cast("array<string>"), ",").alias("worksets"))
 
 
-@query(f"SELECT (i // ceil({v.CLIENTS} / 3.0)::INT)::INT AS server, i::INT AS client FROM range({v.CLIENTS}) t(i)")
+@query("SELECT (n_nationkey // (SELECT ceil(count(*) / 3.0)::INT FROM nation))::INT AS server, n_nationkey::INT AS client FROM nation")
 def server_clients(s, d):
-    return assignment.server_clients(s.range(v.CLIENTS).select(F.col("id").cast("int").alias("client")), 3)
+    return assignment.server_clients(v.table(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("client")), 3)
 
 
 @query(q("wd", TB, worksets("wd"), body=f"SELECT ((ws % 25) // {v.SERVERS})::INT AS server, count(*) AS n FROM ws GROUP BY 1"))
@@ -191,9 +195,8 @@ fc AS (SELECT count(*) AS n FROM rt WHERE route = 'candidate' AND f = 1)
 SELECT count(*) AS processed, count(*) FILTER (route = 'excluded') AS excluded, count(*) FILTER (route = 'saved') AS saved, (SELECT count(*) FROM sc) + (SELECT n FROM fc) AS scheduled,
   count(*) - count(*) FILTER (route = 'excluded') - count(*) FILTER (route = 'saved') - (SELECT count(*) FROM sc) - (SELECT n FROM fc) AS seen FROM rt""")
 def route_counters(s, d):
-    routed = _routed(s, d)
-    old = routed.where("seq % 3 = 0").select(F.col("id").alias("key")).distinct()
-    return dispatch.counters(routed, dispatch.unseen(routed.where("route = 'candidate'"), old))
+    old = v.pages(s, d).where("seq % 3 = 0").select(fp.frontier_id("u").alias("key")).distinct()
+    return dispatch.counters(_routed(s, d), old)
 
 
 LINKED = ",\n".join([SQL["lk"], TB, ided("lk")])
@@ -283,15 +286,15 @@ def novelty_ratio(s, d):
     return seen.novelty(_linked(s, d))
 
 
-@query("WITH " + LINKED + ", fpx AS (SELECT *, seq % 8192 AS fp FROM ix) SELECT DISTINCT u AS url FROM fpx WHERE fp BETWEEN 0 AND 4095")
+@query("WITH " + LINKED + ", fpx AS (SELECT *, seq % 8192 AS fp FROM ix) SELECT u AS url, min(seq) AS seq FROM fpx WHERE fp BETWEEN 0 AND 4095 GROUP BY 1")
 def legacy_dump_dedup(s, d):
-    x = _linked(s, d).select(F.col("u").alias("url"), (F.col("seq") % 8192).alias("fp"))
-    return seen.url_range_dedup(x, 0, 4095).select("url")
+    x = v.links(s, d).select(F.col("u").alias("url"), (F.col("seq") % 8192).alias("fp"), "seq")
+    return seen.url_range_dedup(x, 0, 4095).select("url", "seq")
 
 
-@query(q("lk", body="SELECT count(*) FILTER (ok) AS count, count(*) FILTER (NOT ok) AS dropped, coalesce(string_agg(DISTINCT s, ',' ORDER BY s) FILTER (NOT ok), '') AS ignored FROM (SELECT string_split(u, ':')[1] AS s, strpos(u, ':') > 1 AND string_split(u, ':')[1] IN ('http', 'https', 'ftp') AS ok FROM lk)"))
+@query(q("lk", body="SELECT count(*) FILTER (ok AND NOT bad) AS count, count(*) FILTER (NOT ok) AS dropped, count(*) FILTER (ok AND bad) AS failed, (count(*) FILTER (ok AND NOT bad)) / 8.0::DOUBLE AS rate, coalesce(string_agg(DISTINCT s, ',' ORDER BY s) FILTER (NOT ok), '') AS ignored FROM (SELECT seq % 13 = 0 AS bad, string_split(u, ':')[1] AS s, strpos(u, ':') > 1 AND string_split(u, ':')[1] IN ('http', 'https', 'ftp') AS ok FROM lk)"))
 def scheme_filter_report(s, d):
-    return status.submission_report(v.links(s, d), urls.scheme_ok(F.col("u")))
+    return status.submission_report(v.links(s, d), urls.scheme_ok(F.col("u")), failed=F.col("seq") % 13 == 0, seconds=8.0)
 
 
 # feed and results
@@ -311,11 +314,12 @@ def feed_priority_burst(s, d):
     return feed.priority_burst(v.pages(s, d).withColumn("prio", urls.priority(F.col("p"))), 10).select("seq", "prio")
 
 
-@query(q("pg", body="SELECT seq, CASE WHEN seq % 2 = 0 THEN 'ap' ELSE p END AS p, CASE WHEN seq % 2 = 0 THEN NULL ELSE 'v0' END AS v FROM pg").replace("CASE WHEN seq % 2 = 0 THEN NULL ELSE 'v0' END", "'v0'"))
+@query(q("pg", body="SELECT seq, CASE WHEN seq % 2 = 0 THEN 'ap' ELSE p END AS p, 'v0' AS v, CASE WHEN seq % 6 = 0 THEN 200 END::INT AS s, seq % 6 = 0 AS has_a FROM pg"))
 def makecuri(s, d):
-    a = F.when(F.col("seq") % 2 == 0, F.struct(F.lit("ap").alias("p"), F.lit(None).cast("string").alias("v"), F.lit(None).cast("string").alias("x")))
-    rows = v.pages(s, d).withColumns({"v": F.lit("v0"), "x": F.lit(None).cast("string"), "a": a})
-    return feed.makecuri(rows).select("seq", "p", "v")
+    none = F.lit(None).cast("string")
+    a = F.when(F.col("seq") % 2 == 0, F.struct(F.when(F.col("seq") % 6 == 0, 200).alias("s"), F.lit("ap").alias("p"), none.alias("v"), none.alias("x")))
+    rows = v.pages(s, d).withColumns({"v": F.lit("v0"), "x": none, "a": a})
+    return feed.makecuri(rows).select("seq", "p", "v", "a.s", F.col("a").isNotNull().alias("has_a"))
 
 
 FINISHED = ",\n".join([SQL["wd"], TB, worksets("wd"), ided("ws", "wi"), "fn AS (SELECT e.event_id AS seq, w.id, w.ws, (CASE WHEN event_type = 'error' THEN 500 ELSE 200 END)::INT AS s, e.event_type AS d FROM events e JOIN wi w ON w.seq = e.user_id)"])
@@ -347,7 +351,7 @@ def crawlinfo_enrich(s, d):
 
 # status
 
-@query("WITH " + FINISHED + f", g AS (SELECT ws, count(*) AS n FROM wi GROUP BY ws), h AS (SELECT ws, count(*) AS n FROM fn GROUP BY ws) SELECT g.ws % {v.CLIENTS} AS client, sum(g.n)::BIGINT AS scheduled, sum(coalesce(h.n, 0))::BIGINT AS finished, count(*) AS n_worksets, string_agg(g.ws::VARCHAR, ',' ORDER BY g.ws) AS worksets FROM g LEFT JOIN h USING (ws) GROUP BY 1")
+@query("WITH " + FINISHED + f", g AS (SELECT ws, count(*) AS n FROM wi GROUP BY ws), h AS (SELECT ws, count(*) AS n FROM fn GROUP BY ws) SELECT g.ws % {v.CLIENTS} AS client, sum(g.n)::BIGINT AS scheduled, sum(coalesce(h.n, 0))::BIGINT AS finished, sum(greatest(g.n - coalesce(h.n, 0), 0))::BIGINT AS active, count(*) AS n_worksets, string_agg(g.ws::VARCHAR, ',' ORDER BY g.ws) AS worksets FROM g LEFT JOIN h USING (ws) GROUP BY 1")
 def client_status(s, d):
     g = assignment.with_workset(v.wide(s, d)).groupBy("ws").agg(F.count("*").alias("scheduled"))
     x = g.join(feed.finished_by_workset(_finished(s, d)), "ws", "left").withColumn("finished", F.coalesce("finished", F.lit(0)))
@@ -370,25 +374,22 @@ def client_transitions(s, d):
     return status.transitions(e).select("event_id", "client", "activates")
 
 
-JOBS = [("wide", "s1", 0), ("wide", "s2", 1), ("news", "s1", 0)]
-LIVE = [("wide", "s2"), ("wide", "s9"), ("news", "s3")]
-_VALUES = "rg AS (SELECT * FROM (VALUES " + ", ".join(map(str, JOBS)) + ") t(job, name, svid)), lv AS (SELECT * FROM (VALUES " + ", ".join(map(str, LIVE)) + ") t(job, name))"
-
-
-@query("WITH " + _VALUES + " SELECT job, name, svid::INT AS svid FROM rg UNION ALL SELECT job, name, NULL FROM lv WHERE (job, name) NOT IN (SELECT job, name FROM rg)")
+@query(q("rg", "lv AS (SELECT 'job' || n_regionkey AS job, lower(n_name) AS name FROM nation WHERE n_nationkey % 3 = 0)",
+         body="SELECT job, name, svid::INT AS svid FROM rg UNION ALL SELECT job, name, NULL FROM lv WHERE (job, name) NOT IN (SELECT job, name FROM rg)"))
 def job_servers(s, d):
-    return status.job_servers(s.createDataFrame(JOBS, "job string, name string, svid int"), s.createDataFrame(LIVE, "job string, name string"))
+    live = v.table(s, d, "nation").where("n_nationkey % 3 = 0").select(F.concat(F.lit("job"), F.col("n_regionkey").cast("string")).alias("job"), F.lower("n_name").alias("name"))
+    return status.job_servers(v.registered(s, d), live)
 
 
-@query("WITH " + _VALUES + " SELECT job, string_agg(name, ',' ORDER BY name) AS servers, count(*) AS n FROM rg GROUP BY job")
+@query(q("rg", body="SELECT job, string_agg(name, ',' ORDER BY name) AS servers, count(*) AS n FROM rg GROUP BY job"))
 def job_status_pivot(s, d):
-    return status.job_status_pivot(s.createDataFrame(JOBS, "job string, server string, svid int"))
+    return status.job_status_pivot(v.registered(s, d).withColumnRenamed("name", "server"))
 
 
-@query("SELECT key, ts, CASE WHEN dt > 0 AND dt < 3600 AND dn BETWEEN 0 AND 1000000 THEN dn / dt END AS rate FROM (SELECT key, ts, ts - lag(ts) OVER w AS dt, n - lag(n) OVER w AS dn FROM (SELECT user_id % 3 AS key, event_id * 700 % 5000 + event_id * 900 AS ts, event_id * event_id AS n FROM events) WINDOW w AS (PARTITION BY key ORDER BY ts, n))")
+@query("SELECT key, ts, CASE WHEN dt > 0 AND dt < 3600 AND dn BETWEEN 0 AND 1000000 THEN dn / dt END AS rate, CASE WHEN dt > 0 AND dt < 3600 AND dn BETWEEN 0 AND 100000 THEN dn / dt END AS out_rate FROM (SELECT key, ts, ts - lag(ts) OVER w AS dt, n - lag(n) OVER w AS dn FROM (SELECT user_id % 3 AS key, event_id * 700 % 5000 + event_id * 900 AS ts, event_id * event_id AS n FROM events) WINDOW w AS (PARTITION BY key ORDER BY ts, n))")
 def throughput_deltas(s, d):
     e = v.table(s, d, "events").select((F.col("user_id") % 3).alias("key"), (F.col("event_id") * 700 % 5000 + F.col("event_id") * 900).alias("ts"), (F.col("event_id") * F.col("event_id")).alias("n"))
-    return status.rates(e).select("key", "ts", "rate")
+    return status.rates(e.withColumn("out", F.col("n"))).select("key", "ts", "rate", "out_rate")
 
 
 # formats
@@ -440,10 +441,10 @@ def seen_binary_record(s, d):
     return rows.select(F.col("ts").alias("seq"), F.hex(formats.pack_seen(rows)).alias("record"))
 
 
-@query("SELECT 'http://' || url AS u FROM (VALUES ('a.com/', 1), ('b.org/x', 0), ('c.net/', 1)) t(url, active) WHERE active = 1")
+@query(q("pg", body="SELECT 'http://' || split_part(u, '://', 2) AS u FROM pg WHERE seq % 3 = 1"))
 def nocrawl_seeds(s, d):
-    seeds = s.createDataFrame([("a.com/", (1,)), ("b.org/x", (0,)), ("c.net/", (1,))], "url string, nocrawl struct<active:int>")
-    return seeds.where("nocrawl.active = 1").select(F.concat(F.lit("http://"), "url").alias("u"))
+    seeds = v.pages(s, d).select(F.substring_index("u", "://", -1).alias("url"), F.struct((F.col("seq") % 3).alias("active")).alias("nocrawl"))
+    return jobs.nocrawl_seeds(seeds)
 
 
 @query("WITH " + LOOKED + " SELECT seq, u, id FROM ix")
@@ -453,7 +454,7 @@ def stream_dispatch(s, d):
     root = scratch(s, "stream")
     x = v.pages(s, d).select("seq", "u")
     x.unionByName(x.where("seq % 2 = 0")).repartition(3, "u").write.parquet(f"{root}/in")
-    return dispatcher.run(s, f"{root}/in", root, "seq long, u string").select("seq", "u", "id")
+    return dispatcher.run(s, f"{root}/in", root, "seq long, u string", compact_every=2).select("seq", "u", "id")
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
@@ -461,6 +462,9 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+from spindrift.plans import tools  # noqa: E402, F401  (its queries register here)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

@@ -6,3 +6,4 @@ CURI = f"u STRING, id BIGINT, p STRING, v STRING, x STRING, f INT, w STRUCT<{',
 SEEN = "key BIGINT, ts BIGINT"
 NEVER = 2**32 - 1
 WORKSETS = 256
+JOBS = "name STRING, wscl ARRAY<INT>, changed BIGINT"

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.schemas import CURI
 
-RECORD, RECORD_BYTES = "<qI", 12
+RECORD_BYTES = 12
+#: Bytes of a seen file that one task reads whole.
+WHOLE_BYTES = 1 << 29
 
 
 def queue_lines(rows: DataFrame) -> DataFrame:
@@ -82,22 +85,100 @@ def pack_seen(rows: DataFrame) -> Column:
     return F.unhex(F.concat(le(rows["key"].cast("long"), 8), le(rows["ts"].cast("long"), 4)))
 
 
-def read_seen(spark: SparkSession, path: str) -> DataFrame:
-    """Binary seen files of 12-byte records. A short last record is dropped; a file with
-    one is read whole by a task, others are split."""
+def read_seen(spark: SparkSession, path: str, version: int = 2) -> DataFrame:
+    """Binary seen files: 12-byte records (key, ts) of version 2, or 8-byte keys of version 1,
+    whose ts is 0. A short last record is dropped. Files up to WHOLE_BYTES are a row each;
+    larger ones, which must hold whole records, are split at records."""
+    size = RECORD_BYTES if version == 2 else 8
+
+    def joined(records: Iterator[bytes]) -> Iterator[tuple[bytes]]:
+        while block := b"".join(islice(records, 1_000_000)):
+            yield (block,)
+
     files = spark.read.format("binaryFile").load(path)
-    if not files.where(F.col("length") % RECORD_BYTES != 0).limit(1).count():
-        raw = spark.sparkContext.binaryRecords(path, RECORD_BYTES)
-        return spark.createDataFrame(raw.map(lambda b: struct.unpack(RECORD, bytes(b))), "key long, ts long")
+    content = files.where(F.col("length") <= WHOLE_BYTES).select("content")
+    large = [r.path for r in files.where(F.col("length") > WHOLE_BYTES).select("path").collect()]
+    for p in large:
+        blocks = spark.sparkContext.binaryRecords(p, size).mapPartitions(joined)
+        content = content.union(spark.createDataFrame(blocks, "content binary"))
+    return content.mapInArrow(records_of if version == 2 else _keys_of, "key long, ts long")
+
+
+def _records(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for x in b.column(0):
+            raw = x.as_buffer()
+            found = np.frombuffer(raw, kind, raw.size // kind.itemsize)
+            for at in range(0, len(found), 1_000_000):
+                part = found[at : at + 1_000_000]
+                ts = part["ts"].astype(np.int64) if "ts" in kind.names else np.zeros(len(part), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(part["key"].copy()), pa.array(ts)], ["key", "ts"])
+
+
+def records_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records (key, ts) of binary content, for ``mapInArrow``; a short last one is dropped."""
+    return _records(batches, np.dtype([("key", "<i8"), ("ts", "<u4")]))
+
+
+def _keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _records(batches, np.dtype([("key", "<i8")]))
+
+
+def write_seen_text(seen: DataFrame, path: str) -> None:
+    """All keys in order, one decimal number a line."""
+    seen.select("key").repartitionByRange("key").sortWithinPartitions("key").select(F.col("key").cast("string").alias("value")).write.text(path)
+
 
+def dump_seen(seen: DataFrame, records: int = 1_000_000) -> DataFrame:
+    """The seen set as binary content: rows (first, n, content) of about ``records`` records in
+    key order, the greatest key of a row below the least of the next."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in b.column(0):
-                data = x.as_py()
-                rows = list(struct.iter_unpack(RECORD, data[: len(data) // RECORD_BYTES * RECORD_BYTES]))
-                yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in rows], pa.int64()), "ts": pa.array([t for _, t in rows], pa.int64())})
+            out = np.zeros(b.num_rows, np.dtype([("key", "<i8"), ("ts", "<u4")]))
+            out["key"], out["ts"] = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for at in range(0, len(out), records):
+                part = out[at : at + records]
+                yield pa.RecordBatch.from_pydict({"first": [int(part["key"][0])], "n": [len(part)], "content": [part.tobytes()]})
+
+    return seen.select("key", F.col("ts").cast("long")).repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, "first long, n long, content binary")
+
+
+def pack_modified(m: Column) -> Column:
+    """Eight bytes, the highest first."""
+    return F.unhex(F.lpad(F.hex(m), 16, "0"))
+
+
+def unpack_modified(content: Column) -> Column:
+    """The number of eight bytes, the highest first; null for other lengths."""
+    digits = F.conv(F.hex(content), 16, 10).cast("decimal(20,0)")
+    number = F.when(digits >= F.lit(str(2**63)).cast("decimal(20,0)"), digits - F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(digits)
+    return F.when(F.octet_length(content) == 8, number.cast("long"))
+
+
+def parse_discovered(lines: DataFrame) -> DataFrame:
+    """Bodies of submissions, one a line: a list of rows, or ``{"f": 1, "u": [rows]}``, whose
+    rows are all forced; a row may be a bare URL. Rows without URL go, as do bodies that are neither."""
+    t = F.trim("value")
+    listed = t.startswith("[")
+    body = F.from_json(F.when(~listed, t), "f INT, u ARRAY<STRING>")
+    items = F.from_json(F.when(listed, t), "ARRAY<STRING>")
+    # array items are read as text, each then as a row or a bare URL
+    x = lines.select(F.coalesce(body["f"], F.lit(0)).alias("_f"), F.explode(F.coalesce(items, body["u"])).alias("_item"))
+    row = F.from_json(F.when(F.col("_item").startswith("{"), F.col("_item")), "u STRING, p STRING, v STRING, x STRING, f INT")
+    x = x.select("_f", "_item", row.alias("r"))
+    u = F.when(F.col("_item").startswith("{"), F.col("r.u")).otherwise(F.col("_item"))
+    f = F.greatest(F.col("_f"), F.coalesce("r.f", F.lit(0)))
+    return x.select(u.alias("u"), "r.p", "r.v", "r.x", f.alias("f")).where("u is not null and u <> ''")
+
+
+def recovered_positions(journal: DataFrame, rows: int) -> DataFrame:
+    """Places (pos) that a journal's lines name; lines that name none, or one out of range, go."""
+    return journal.select(F.trim("value").try_cast("long").alias("pos")).where((F.col("pos") >= 0) & (F.col("pos") < rows))
+
 
-    return files.select("content").mapInArrow(run, "key long, ts long")
+def json_lines(rows: DataFrame) -> DataFrame:
+    """Each row as one JSON object."""
+    return rows.select(F.to_json(F.struct("*")).alias("value"))
 
 
 def parse_bool(text: Column) -> Column:
