@@ -8,10 +8,10 @@ when a worker opens the model; texts with other spacing, or a model without thes
 properties, are encoded whole.
 
 Tier one is a table of the most frequent pre-tokens and their lengths, broadcast in a
-compact form of proven size (``hot_size`` entries). Its entries come from all texts: each
-task keeps a bounded summary of its pre-tokens, and only the summaries meet. Tier two is
-a cache in each Python worker that the library fills. No pre-token is shuffled, and the
-counts depend on neither tier.
+compact form of proven size (``hot_size`` entries). Which pre-tokens are frequent is learned
+from a bounded sample of ``sample_docs`` documents, whose summaries the driver adds up. Tier
+two is a cache in each Python worker that the library fills. No pre-token is shuffled; every
+text is counted whole, and no count depends on either tier.
 """
 
 from __future__ import annotations
@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import ensure_importable
 
-#: Entries of the broadcast table, entries a task reports, and entries of a worker's cache.
+#: Entries of the broadcast table, documents that it is learned from at most (about), parts
+#: that these are summed up in, and entries of a worker's cache.
 HOT_SIZE = 50_000
-TASK_SUMMARY = 5_000
+SAMPLE_DOCS = 10_000
+SAMPLE_PARTS = 6
 WORKER_CACHE = 400_000
-_SPLIT_AT = 1 << 15
 
 _open: dict = {}
 
@@ -104,28 +105,33 @@ def _summaries(model: str, keep: int):
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t and c.regular(t):
-                    seen.update(c.pretokens(t))
-            if len(seen) > 40 * keep:  # frequent-items summary: bounded whatever the task reads
-                seen = Counter(dict(seen.most_common(20 * keep)))
-        top = [(w, n) for w, n in seen.most_common(keep) if len(w) <= 64]
+                    seen.update(w for w in c.pretokens(t) if 0 < len(w) <= 64)
+            if len(seen) > 8 * keep:  # bounded whatever the task reads
+                seen = Counter(dict(seen.most_common(4 * keep)))
+        top = seen.most_common(keep)
         yield pa.RecordBatch.from_pydict({"w": [w for w, _ in top], "n": pa.array([n for _, n in top], pa.int64())})
 
     return run
 
 
-def hot_lengths(texts: DataFrame, model: str, hot_size: int = HOT_SIZE) -> dict[str, int]:
-    """The broadcast tier: at most ``hot_size`` pre-tokens of at most 64 characters."""
-    top = (
-        texts.mapInArrow(_summaries(model, min(hot_size, TASK_SUMMARY)), "w string, n long")
-        .groupBy("w").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "w").limit(hot_size)
-    )
+def hot_lengths(texts: DataFrame, model: str, hot_size: int = HOT_SIZE, sample_docs: int = SAMPLE_DOCS) -> dict[str, int]:
+    """The broadcast tier: at most ``hot_size`` pre-tokens of at most 64 characters, frequent
+    in a sample of about ``sample_docs`` of ``texts`` (one column)."""
     c = counter(model)
-    return {r.w: c.unit(r.w) for r in top.collect() if r.w} if c.decomposes else {}
+    total = texts.count() if c.decomposes else 0
+    if not total:
+        return {}
+    sample = texts if total <= sample_docs else texts.sample(sample_docs / total, seed=7)
+    seen: Counter = Counter()
+    # only the sample's texts move, so that the driver gets SAMPLE_PARTS summaries of hot_size entries
+    for r in sample.repartition(SAMPLE_PARTS).mapInArrow(_summaries(model, hot_size), "w string, n long").collect():
+        seen[r.w] += r.n
+    top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:hot_size]
+    return {w: c.unit(w) for w, _ in top}
 
 
 def count_tokens(
-    df: DataFrame, model: str, text_col: str = "text", hot_size: int = HOT_SIZE, out_col: str = "n_tokens"
+    df: DataFrame, model: str, text_col: str = "text", hot_size: int = HOT_SIZE, out_col: str = "n_tokens", sample_docs: int = SAMPLE_DOCS
 ) -> DataFrame:
     """Append ``out_col``, the tokens of ``text_col`` under a sentencepiece model.
 
@@ -135,7 +141,7 @@ def count_tokens(
     """
     spark = df.sparkSession
     ensure_importable(spark)
-    hot = spark.sparkContext.broadcast(hot_lengths(df.select(F.col(text_col)), model, hot_size))
+    hot = spark.sparkContext.broadcast(hot_lengths(df.select(F.col(text_col)), model, hot_size, sample_docs))
 
     @F.pandas_udf("long")
     def n_tokens(text):

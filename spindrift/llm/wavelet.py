@@ -2,10 +2,11 @@
 
 An image stores the ids of consecutive documents as bit planes, from the highest bit
 down. Each plane holds one bit of every id, in the order that the planes above leave;
-zeros go first, ones after them, both keeping their order. With a running count of ones
-every 512 bits, a plane answers rank in constant time, so that the compressed image
-itself serves access to any token, counts of an id in any range, and the places where an
-id occurs. Planes are compressed one by one, and a reader opens only those it needs.
+zeros go first, ones after them, both keeping their order. Planes are cut into blocks of
+``BLOCK_BITS`` bits that are compressed one by one; a directory in the image holds, for each
+block, the ones before it, its place and its checksum. :class:`Image` answers rank from the
+directory and one block, and opens no block that a question does not touch: access to a
+token opens one block of each plane, a count two.
 """
 
 from __future__ import annotations
@@ -25,39 +26,93 @@ from pyspark.sql import types as T
 
 from spindrift.llm.common import ensure_importable, materialize, parts
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 END_ID = 2
 #: Tokens after which a shard is closed; a longer document makes a longer shard.
 SHARD_TOKENS = 2_000_000
 WORKER_CACHE = 600_000
-_BLOCK = 512
+BLOCK_BITS = 1 << 18
 
 
-class WaveletMatrix:
-    """Access, rank and select over a sequence of unsigned ids."""
+def build(ids: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+    """Bit planes of ids, packed from the low bit of each byte, and the zeros of each."""
+    levels = max(1, int(ids.max()).bit_length()) if ids.size else 1
+    cur = ids.astype(np.uint16 if levels <= 16 else np.uint32)
+    planes, zeros = [], []
+    for b in range(levels - 1, -1, -1):
+        bit = (cur >> b) & 1 != 0
+        planes.append(np.packbits(bit, bitorder="little"))
+        low = cur[~bit]
+        zeros.append(int(low.size))
+        cur = np.concatenate([low, cur[bit]])
+    return planes, zeros
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros, self.levels = n, planes, zeros, len(planes)
-        self._ones: dict[int, np.ndarray] = {}
 
-    @classmethod
-    def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        levels = max(1, int(ids.max()).bit_length()) if ids.size else 1
-        cur = ids.astype(np.uint16 if levels <= 16 else np.uint32)
-        planes, zeros = [], []
-        for b in range(levels - 1, -1, -1):
-            bit = (cur >> b) & 1 != 0
-            planes.append(np.packbits(bit, bitorder="little"))
-            low = cur[~bit]
-            zeros.append(low.size)
-            cur = np.concatenate([low, cur[bit]])
-        return cls(int(ids.size), planes, zeros)
+def pack(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
+    """An image: magic, header, the table of documents, the directory, then the blocks."""
+    planes, zeros = build(ids)
+    z = zstandard.ZstdCompressor(level=1)
+    docs = pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "n": pa.array(lengths, pa.int64())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema) as w:
+        w.write_batch(docs)
+    step, blocks, ones = BLOCK_BITS // 8, [], []
+    for plane in planes:
+        cut = [plane[i : i + step] for i in range(0, plane.size, step)]
+        ones.append(np.cumsum([0, *(int(np.bitwise_count(c).sum(dtype=np.int64)) for c in cut)]))
+        blocks += [z.compress(c.tobytes()) for c in cut]
+    directory = np.concatenate([
+        np.array(ones, "<i8").ravel(), np.cumsum([0, *map(len, blocks)]).astype("<i8"), np.array(list(map(zlib.crc32, blocks)), "<i8")])
+    tables = [z.compress(sink.getvalue().to_pybytes()), z.compress(directory.tobytes())]
+    head = json.dumps({"n": int(ids.size), "zeros": zeros, "bits": BLOCK_BITS, "sizes": [len(t) for t in tables], "crc": [zlib.crc32(t) for t in tables]}).encode()
+    return b"".join([MAGIC, struct.pack("<I", len(head)), head, *tables, *blocks])
+
+
+class Image:
+    """Access, rank, select and occurrences over an image; blocks are opened when they are needed."""
+
+    def __init__(self, data: bytes):
+        self.data = memoryview(data)
+        if self.data[:4] != MAGIC:
+            raise ValueError("not a wavelet image")
+        (size,) = struct.unpack_from("<I", self.data, 4)
+        head, at = json.loads(bytes(self.data[8 : 8 + size])), 8 + size
+        self.n, self.zeros, self.bits = head["n"], head["zeros"], head["bits"]
+        self.levels, self.blocks = len(self.zeros), -(-self.n // self.bits)
+        tables = []
+        for length, crc in zip(head["sizes"], head["crc"]):
+            tables.append(self._open(at, length, crc))
+            at += length
+        docs = pa.ipc.open_stream(tables[0]).read_all()
+        self.doc_ids, self.lengths = docs["doc_id"].to_pylist(), docs["n"].to_numpy()
+        directory, k = np.frombuffer(tables[1], "<i8"), self.levels * (self.blocks + 1)
+        self.ones = directory[:k].reshape(self.levels, self.blocks + 1)
+        self.place = directory[k : k + self.levels * self.blocks + 1] + at
+        self.crc = directory[k + self.levels * self.blocks + 1 :]
+        self.opened: dict[tuple[int, int], np.ndarray] = {}
+
+    def _open(self, at: int, length: int, crc: int) -> bytes:
+        blob = self.data[at : at + length]
+        if zlib.crc32(blob) != crc:
+            raise ValueError("damaged wavelet image")
+        return zstandard.ZstdDecompressor().decompress(blob)
+
+    def _block(self, level: int, k: int) -> np.ndarray:
+        if (level, k) not in self.opened:
+            i = level * self.blocks + k
+            self.opened[level, k] = np.frombuffer(self._open(int(self.place[i]), int(self.place[i + 1] - self.place[i]), int(self.crc[i])), np.uint8)
+        return self.opened[level, k]
+
+    def _plane(self, level: int) -> np.ndarray:
+        """The bits of a whole plane."""
+        cut = [self._block(level, k) for k in range(self.blocks)]
+        return np.unpackbits(np.concatenate(cut) if cut else np.zeros(0, np.uint8), count=self.n, bitorder="little").view(bool)
 
     def all(self) -> np.ndarray:
         """Every id in order, from the lowest plane back to the highest."""
         out = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
-        for b, (plane, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
-            bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
+        for b in range(self.levels):
+            bit, z = self._plane(self.levels - 1 - b), self.zeros[self.levels - 1 - b]
             up = np.empty_like(out)
             up[~bit] = out[:z]
             up[bit] = out[z:] | (1 << b)
@@ -65,32 +120,36 @@ class WaveletMatrix:
         return out
 
     def _rank1(self, level: int, i: int) -> int:
-        plane = self.planes[level]
-        if level not in self._ones:
-            per_byte = np.bitwise_count(plane).astype(np.int64)
-            sums = np.add.reduceat(per_byte, np.arange(0, plane.size, _BLOCK // 8)) if plane.size else per_byte
-            self._ones[level] = np.concatenate([[0], np.cumsum(sums)])
-        block = i // _BLOCK
-        start = block * (_BLOCK // 8)
-        rest = np.unpackbits(plane[start : start + _BLOCK // 8], bitorder="little")[: i - block * _BLOCK]
-        return int(self._ones[level][block]) + int(rest.sum())
+        k, rest = divmod(i, self.bits)
+        if not rest:
+            return int(self.ones[level, k])
+        block = self._block(level, k)
+        ones = int(np.bitwise_count(block[: rest >> 3]).sum(dtype=np.int64))
+        if rest & 7:
+            ones += (int(block[rest >> 3]) & ((1 << (rest & 7)) - 1)).bit_count()
+        return int(self.ones[level, k]) + ones
 
     def access(self, i: int) -> int:
+        if not 0 <= i < self.n:
+            raise IndexError(i)
         value = 0
-        for k in range(self.levels):
-            bit = (self.planes[k][i >> 3] >> (i & 7)) & 1
-            ones = self._rank1(k, i)
-            value = value << 1 | int(bit)
-            i = self.zeros[k] + ones if bit else i - ones
+        for level in range(self.levels):
+            k, rest = divmod(i, self.bits)
+            bit = int(self._block(level, k)[rest >> 3]) >> (rest & 7) & 1
+            ones = self._rank1(level, i)
+            value = value << 1 | bit
+            i = self.zeros[level] + ones if bit else i - ones
         return value
 
     def _range(self, token: int, lo: int, hi: int) -> tuple[int, int]:
-        if token >> self.levels:
+        if token < 0 or token >> self.levels:
             return 0, 0
-        for k in range(self.levels):
-            a, b = self._rank1(k, lo), self._rank1(k, hi)
-            one = token >> (self.levels - 1 - k) & 1
-            lo, hi = (self.zeros[k] + a, self.zeros[k] + b) if one else (lo - a, hi - b)
+        for level in range(self.levels):
+            if lo >= hi:
+                return 0, 0
+            a, b = self._rank1(level, lo), self._rank1(level, hi)
+            one = token >> (self.levels - 1 - level) & 1
+            lo, hi = (self.zeros[level] + a, self.zeros[level] + b) if one else (lo - a, hi - b)
         return lo, hi
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
@@ -101,7 +160,7 @@ class WaveletMatrix:
     def select(self, token: int, k: int) -> int:
         """Place of the k-th occurrence (from 0) of ``token``; -1 if there are fewer."""
         lo, hi = self._range(token, 0, self.n)
-        if k >= hi - lo:
+        if not 0 <= k < hi - lo:
             return -1
         i = lo + k
         for level in range(self.levels - 1, -1, -1):
@@ -110,51 +169,26 @@ class WaveletMatrix:
         return i
 
     def _select_bit(self, level: int, one: int, k: int) -> int:
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = self._rank1(level, mid + 1)
-            if (ones if one else mid + 1 - ones) > k:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
-
-    def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.count(token))]
-
+        before = self.ones[level] if one else np.arange(self.blocks + 1) * self.bits - self.ones[level]
+        block = int(np.searchsorted(before[: self.blocks], k, "right")) - 1
+        bits = np.unpackbits(self._block(level, block), bitorder="little")
+        return block * self.bits + int(np.flatnonzero(bits == one)[k - before[block]])
 
-def pack(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
-    """An image: magic, header, then the table of documents and the planes."""
-    wm = WaveletMatrix.build(ids)
-    z = zstandard.ZstdCompressor(level=1)
-    docs = pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "n": pa.array(lengths, pa.int64())})
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, docs.schema) as w:
-        w.write_batch(docs)
-    blobs = [z.compress(sink.getvalue().to_pybytes()), *(z.compress(p.tobytes()) for p in wm.planes)]
-    head = json.dumps({"n": wm.n, "zeros": wm.zeros, "sizes": [len(b) for b in blobs], "crc": [zlib.crc32(b) for b in blobs]}).encode()
-    return b"".join([MAGIC, struct.pack("<I", len(head)), head, *blobs])
-
-
-def unpack(image: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
-    if image[:4] != MAGIC:
-        raise ValueError("not a wavelet image")
-    (size,) = struct.unpack_from("<I", image, 4)
-    head, at, blobs = json.loads(image[8 : 8 + size]), 8 + size, []
-    for n, crc in zip(head["sizes"], head["crc"]):
-        blob = image[at : at + n]
-        if zlib.crc32(blob) != crc:
-            raise ValueError("damaged wavelet image")
-        blobs.append(zstandard.ZstdDecompressor().decompress(blob, max_output_size=max(1, head["n"] * 32)) if n else b"")
-        at += n
-    docs = pa.ipc.open_stream(blobs[0]).read_all()
-    planes = [np.frombuffer(b, np.uint8) for b in blobs[1:]]
-    return docs["doc_id"].to_pylist(), docs["n"].to_numpy(), WaveletMatrix(head["n"], planes, head["zeros"])
+    def occurrences(self, token: int) -> np.ndarray:
+        """All places of ``token``, in order."""
+        lo, hi = self._range(token, 0, self.n)
+        at = np.arange(lo, hi)
+        for level in range(self.levels - 1, -1, -1):
+            if not at.size:
+                break
+            bit = self._plane(level)
+            at = np.flatnonzero(bit)[at - self.zeros[level]] if token >> (self.levels - 1 - level) & 1 else np.flatnonzero(~bit)[at]
+        return at
 
 
 _encoders: dict = {}
 _TAIL = ".,!?;:#*$%&|"
+_PROBES = ["The quick brown fox", "a  b", " a", "a ", "x\ny, z", "é 1 2.\n\n'tis it's", "ab cd. ef"]
 
 
 def _byte_letters() -> list[str]:
@@ -167,8 +201,9 @@ def _byte_letters() -> list[str]:
 class _Encoder:
     """Ids of the tokenizers library, through a cache of stretches without spaces.
 
-    A space ends every pre-token of such a tokenizer, so that stretches between spaces
-    are encoded apart and their ids joined. In a text that is in normal form C before and
+    Where a space ends every pre-token of the tokenizer, stretches between spaces are
+    encoded apart and their ids joined; probes tell whether this holds, and texts of other
+    tokenizers go to the library whole. In a text that is in normal form C before and
     after lower-casing, a stretch is cached in lower case, and letters apart from the
     punctuation that follows them; a pre-token of letters alone goes straight to the
     library's merge model. A text with a marker of special tokens, or a letter whose lower
@@ -184,9 +219,12 @@ class _Encoder:
         self.wide = np.dtype("<u2") if self.t.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.letters = _byte_letters()
         self.cache: dict[str, bytes] = {"": b""}
+        self.splits = all(self._library(p) == [i for w in p.replace("\n", " ").split(" ") for i in self._library(w)] for p in _PROBES)
         # the shortcut holds for a tokenizer that ignores case and parts letters from the rest
-        probe = self.t.encode("Ab,", add_special_tokens=False).ids
-        self.folds = probe == self._model("ab") + self.t.encode(",", add_special_tokens=False).ids
+        self.folds = self.splits and self._library("Ab,") == self._model("ab") + self._library(",")
+
+    def _library(self, text: str) -> list[int]:
+        return self.t.encode(text, add_special_tokens=False).ids
 
     def _model(self, word: str) -> list[int]:
         if not word.isascii():
@@ -206,7 +244,7 @@ class _Encoder:
 
     def _plain(self, w: str) -> bytes:
         x = self.cache.get(w)
-        return self._keep(w, self.t.encode(w, add_special_tokens=False).ids) if x is None else x
+        return self._keep(w, self._library(w)) if x is None else x
 
     def _folded(self, w: str) -> bytes:
         core = w.rstrip(_TAIL)
@@ -221,6 +259,8 @@ class _Encoder:
 
     def ids(self, text: str) -> bytes:
         miss = self._plain
+        if not self.splits:
+            return np.array(self._library(text), self.wide).tobytes()
         if self.folds and "<|" not in text and "Σ" not in text:
             low = text.lower()
             if text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
@@ -311,9 +351,9 @@ def read_tokens(shards: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for base, image in zip(b.column(0).to_pylist(), b.column(1)):
-                docs, lengths, wm = unpack(image.as_py())
-                ids = wm.all().astype("<u4")
+            for base, data in zip(b.column(0).to_pylist(), b.column(1)):
+                image = Image(data.as_buffer())
+                docs, lengths, ids = image.doc_ids, image.lengths, image.all().astype("<u4")
                 ends = np.cumsum(lengths)
                 view = memoryview(ids).cast("B") if ids.size else memoryview(b"")
                 crc = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
@@ -326,3 +366,42 @@ def read_tokens(shards: DataFrame) -> DataFrame:
         shards.select("part", "before", "image").join(F.broadcast(offsets), "part")
         .select((F.col("at") + F.col("before")).alias("base"), "image").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
     )
+
+
+def find_tokens(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """Where ``tokens`` occur, looked up in the images: doc_id, token and place in the document.
+
+    Only the planes' blocks are opened, no text and no id sequence. Tokens that occur
+    nowhere give no row.
+    """
+    ensure_importable(shards.sparkSession)
+    wanted = sorted(set(tokens))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0):
+                image = Image(data.as_buffer())
+                ends = np.cumsum(image.lengths)
+                for token in wanted:
+                    at = image.occurrences(token)
+                    doc = np.searchsorted(ends, at, "right")
+                    yield pa.RecordBatch.from_pydict({
+                        "doc_id": pa.array([image.doc_ids[d] for d in doc], pa.int64()), "token": pa.array(np.full(len(at), token), pa.int64()),
+                        "place": pa.array(at - (ends - image.lengths)[doc], pa.int64()),
+                    })
+
+    return shards.select("image").mapInArrow(run, "doc_id long, token long, place long")
+
+
+def count_tokens(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """Occurrences of each of ``tokens`` in all images: token, n. Opens two blocks of a plane."""
+    ensure_importable(shards.sparkSession)
+    wanted = sorted(set(tokens))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0):
+                image = Image(data.as_buffer())
+                yield pa.RecordBatch.from_pydict({"token": pa.array(wanted, pa.int64()), "n": pa.array([image.count(t) for t in wanted], pa.int64())})
+
+    return shards.select("image").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
