@@ -4,8 +4,8 @@ Leaves are the sources of a language of a domain. A budget of tokens flows down
 each node shares its budget among its children by weight, no child gets more than its
 subtree can supply (its tokens times the epochs allowed), and what a child can't take
 goes to its siblings; only what a whole family can't take remains for the family's own
-siblings, because a family's supply bounds what its parent gives it. Shares are exact
-integers.
+siblings, because a family's supply bounds what its parent gives it. Shares are whole
+tokens; what rounding down leaves goes to the children of the largest remainders, one each.
 
 A leaf whose budget is q times its tokens and a rest takes q whole epochs and, of epoch
 q, the prefix whose tokens reach the rest, in an order seeded per epoch. The place of a
@@ -15,6 +15,8 @@ per bucket of the order key, then the documents of the single bucket in which it
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +26,7 @@ from spindrift.llm.common import WORD, materialize
 LEVELS = ["domain", "lang", "source"]
 #: Leaves up to which their ends are broadcast; beyond, the join shuffles.
 BROADCAST_LEAVES = 100_000
+#: Hexadecimal digits of the order key that name a bucket, at least.
 _BUCKET_DIGITS = 3
 
 
@@ -50,8 +53,11 @@ def allocate(leaves: DataFrame, budget: int, weights: dict[str, dict[str, int]],
         rest = F.col("budget") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(w)
         open_w = F.sum(F.when(F.col("full"), 0).otherwise(F.col("w"))).over(w)
         kids = kids.withColumns({"rest": rest, "open_w": open_w})
-        share = F.when(F.col("full"), F.col("cap")).otherwise(F.expr("(w * rest) div greatest(open_w, 1)"))
-        given = kids.select(*keys, share.alias("budget"))
+        kids = kids.withColumn("part", F.expr("if(full, 0, (w * rest) div greatest(open_w, 1))"))
+        kids = kids.withColumn("over", F.expr("if(full, -1, (w * rest) % greatest(open_w, 1))"))
+        kids = kids.withColumn("left", F.expr("if(open_w > 0, rest, 0)") - F.sum("part").over(w))
+        extra = (F.row_number().over(w.orderBy(F.desc("over"), level)) <= F.col("left")) & ~F.col("full")
+        given = kids.select(*keys, F.when(F.col("full"), F.col("cap")).otherwise(F.col("part") + extra.cast("long")).alias("budget"))
     return leaves.join(given, levels).withColumnRenamed("budget", "share")
 
 
@@ -64,8 +70,11 @@ def plan(docs: DataFrame, weights: dict[str, dict[str, int]], budget_share: tupl
 
     ``docs``: doc_id, the levels and n_tokens. The budget is the share a/b of all tokens.
     """
-    leaves = materialize(docs.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens")), "leaves")
-    total = leaves.agg(F.sum("tokens")).first()[0] or 0
+    leaves = materialize(docs.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "leaves")
+    total, most = (x or 0 for x in leaves.agg(F.sum("tokens"), F.max("rows")).first())
+    # as many buckets as documents in one, so that neither step is long for the largest leaf
+    digits = max(_BUCKET_DIGITS, math.ceil(math.log(max(1, most), 16) / 2))
+    leaves = leaves.drop("rows")
     shares = materialize(
         allocate(leaves, total * budget_share[0] // budget_share[1], weights, max_epochs, levels)
         .withColumn("q", F.when(F.col("tokens") > 0, F.expr("share div tokens")).otherwise(0).cast("long"))
@@ -75,7 +84,7 @@ def plan(docs: DataFrame, weights: dict[str, dict[str, int]], budget_share: tupl
     # documents with equal keys (repeats of an id) are taken together
     keyed = with_leaves(docs, shares.select(*levels, "q", "r"), levels).where("r > 0")
     keyed = keyed.withColumn("h", order_key(seed, F.col("q")))
-    keyed = keyed.withColumn("bucket", F.substring("h", 1, _BUCKET_DIGITS))
+    keyed = keyed.withColumn("bucket", F.substring("h", 1, digits))
     sums = keyed.groupBy(*levels, "bucket").agg(F.sum("n_tokens").alias("n"), F.max("r").alias("r"))
     before = F.coalesce(F.sum("n").over(W.partitionBy(*levels).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     # the last bucket that begins within the rest holds the prefix's end
@@ -125,9 +134,11 @@ def leaf_columns(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed sample of ``docs`` (doc_id, text, lang, source) with production parameters.
 
-    One row per document and epoch. Empty texts have no token and are taken with the
-    prefix that they stand in; leaves without tokens give nothing; repeated ids are taken
-    together; an empty table gives an empty table.
+    One row per document and epoch. Tokens are words here. Empty and null texts have no
+    token and are taken with the prefix that they stand in; leaves without tokens give
+    nothing; repeated ids, and rows without one, share an order key and are taken together;
+    null languages and sources are leaves of their own; other columns are not read; an
+    empty table gives an empty table.
     """
     slim = leaf_columns(docs.select("doc_id", "lang", "source", count_words(F.col("text")).alias("n_tokens")))
     slim = materialize(slim, "mix")
@@ -152,8 +163,9 @@ lv AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP
 a{depth} AS (SELECT {keys}, cap, {weight(level)} AS w, {budget}::BIGINT AS b FROM {source}),
 f{depth} AS (SELECT *, cap * sum(w) OVER ({by}ORDER BY cap / w, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
   <= w * (b - coalesce(sum(cap) OVER ({by}ORDER BY cap / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS sat FROM a{depth}),
-s{depth} AS (SELECT {keys}, (CASE WHEN sat THEN cap ELSE w * (b - sum(CASE WHEN sat THEN cap ELSE 0 END) OVER ({by}))
-  // greatest(sum(CASE WHEN sat THEN 0 ELSE w END) OVER ({by}), 1) END)::BIGINT AS budget FROM f{depth})"""
+r{depth} AS (SELECT *, b - sum(CASE WHEN sat THEN cap ELSE 0 END) OVER ({by}) AS rest, sum(CASE WHEN sat THEN 0 ELSE w END) OVER ({by}) AS ow FROM f{depth}),
+o{depth} AS (SELECT *, CASE WHEN sat THEN 0 ELSE w * rest // greatest(ow, 1) END AS part, CASE WHEN sat THEN -1 ELSE w * rest % greatest(ow, 1) END AS rem FROM r{depth}),
+s{depth} AS (SELECT {keys}, (CASE WHEN sat THEN cap ELSE part + (row_number() OVER ({by}ORDER BY rem DESC, {level}) <= rest - sum(part) OVER ({by}))::INT END)::BIGINT AS budget FROM o{depth})"""
     return sql + f""",
 p AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS q, tokens, budget FROM lv JOIN s3 USING (domain, lang, source)),
 k AS (SELECT d.*, q, budget - q * tokens AS r, md5('{SEED}:' || q || ':' || coalesce(doc_id::VARCHAR, '-')) AS h FROM d JOIN p USING (domain, lang, source)),

@@ -25,6 +25,9 @@ def test_shortage_goes_to_siblings_first(spark):
     got = {r.source: r.share for r in mixing.allocate(leaves, 200, {}, 1).collect()}
     # b can give 20 of its 100: a gets 180, halves of 90; source 1 gives 10, its sibling the other 80
     assert got == {"1": 10, "2": 80, "3": 90, "4": 20}
+    # no token is lost to rounding, and the largest remainders get what is left
+    got = {r.source: r.share for r in mixing.allocate(leaves, 174, {"lang": {"y": 2}}, 1).collect()}
+    assert got == {"1": 10, "2": 41, "3": 103, "4": 20}
 
 
 def brute(docs, items):
@@ -90,6 +93,26 @@ def test_op8_short_items_with_a_quarter_changed(spark):
     assert got == {(key, key, len(t.split()) - len(t.split()) // 4) for key, t in items}
 
 
+def test_op8_copies_of_items_and_rows_without_id(spark):
+    text = " ".join(f"i{n}" for n in range(30))
+    b = spark.createDataFrame([(1, text), (2, text), (2, text), (3, "a " * 400), (None, "n " * 30)], "item_id long, text string")
+    rows = [(None, "x " + text), (7, text + " y"), (7, "clean words only"), (8, "a " * 3000), (9, "n " * 50)]
+    df = spark.createDataFrame([(*r, "own") for r in rows], "doc_id long, text string, item string")
+    for size in (10**6, 100):
+        got = sorted((r.doc_id or 0, r.item_id) for r in decontam.contamination(df, b, size).collect())
+        assert got == [(0, 1), (0, 2), (0, 2), (7, 1), (7, 2), (7, 2), (8, 3)]
+        assert sorted(tuple(r) for r in decontam.clean(df, b, size).collect()) == [(7, "clean words only", "own"), (9, "n " * 50, "own")]
+        assert decontam.clean(df, b, size).columns == df.columns
+
+
+def test_op8_meetings_are_taken_in_steps(monkeypatch):
+    index = decontam.Index([(1, "a b " * 60), (2, "a " * 50 + "c d e f g h i j k l m n o"), (3, "q r s " * 9)])
+    texts = ["a b " * 300, "x " * 30 + "a " * 200, "q r s " * 20 + "a", ""]
+    whole = decontam.overlaps(index, texts)
+    monkeypatch.setattr(decontam, "STEP", 7)
+    assert decontam.overlaps(index, texts) == whole and [[r[0] for r in rows] for rows in whole] == [[1], [2], [3], []]
+
+
 def test_op8_finds_whole_items(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
