@@ -103,9 +103,10 @@ def _lists(values: np.ndarray, lengths: np.ndarray, kind) -> pa.Array:
 
 
 def format_turns(df: DataFrame, tokenizer: str, trained_role: str = "assistant") -> DataFrame:
-    """One row of token ids and loss mask per turn: conv_id, turn, ids, mask.
+    """One row of token ids and loss mask per turn: conv_id, turn, tie, ids, mask.
 
-    A conversation's tokens are its turns' in order of (turn, ids). Null roles and texts
+    A conversation's tokens are its turns' in order of (turn, tie), where ``tie`` is the role
+    and text, so that turns of one number have an order; a null turn comes first. Null roles and texts
     are empty; repeated rows are turns of their own; a null conv_id is one conversation;
     other columns are not read. An empty table gives an empty table.
     """
@@ -116,15 +117,16 @@ def format_turns(df: DataFrame, tokenizer: str, trained_role: str = "assistant")
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                roles, texts = ([x or "" for x in b.column(i).to_pylist()] for i in (2, 3))
+                roles, texts = (b.column(i).to_pylist() for i in (2, 3))
                 ids, mask, lengths = c.assemble(roles, texts, trained_role)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), _lists(ids, lengths, pa.int32()), _lists(mask, lengths, pa.int8())],
-                    ["conv_id", "turn", "ids", "mask"],
+                    [b.column(0), b.column(1), pa.StructArray.from_arrays([b.column(2), b.column(3)], ["role", "text"]),
+                     _lists(ids, lengths, pa.int32()), _lists(mask, lengths, pa.int8())],
+                    ["conv_id", "turn", "tie", "ids", "mask"],
                 )
 
-    cols = df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    return cols.mapInArrow(run, "conv_id long, turn long, ids array<int>, mask array<tinyint>")
+    cols = df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")))
+    return cols.mapInArrow(run, "conv_id long, turn long, tie struct<role:string,text:string>, ids array<int>, mask array<tinyint>")
 
 
 def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
@@ -143,7 +145,7 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
             out.append((now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5]))
 
         for b in batches:
-            for conv, ids, mask in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
+            for conv, ids, mask in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 if now is None or now[0] != conv:
                     if now is not None:
                         close()
@@ -162,8 +164,8 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out)))), schema=_DIGEST)
 
     return (
-        formatted.repartition(parts(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "ids")
-        .mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+        formatted.repartition(parts(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "tie")
+        .select("conv_id", "ids", "mask").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     )
 
 
@@ -177,9 +179,9 @@ WITH c AS (
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(32 + length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """

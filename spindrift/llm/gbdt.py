@@ -128,7 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_docs
     """Fit on the labelled documents, or on ``max_docs`` of them chosen by a hash of doc_id.
 
     A document with several labels counts with its highest, one with several rows once,
-    with the greatest statistics, so that ``max_docs`` bounds what the driver gets.
+    with the greatest statistics, so that ``max_docs`` bounds what the driver gets. Rows
+    without doc_id or label teach nothing; an empty table, or one label only, gives a constant.
     """
     spark = docs.sparkSession
     ensure_importable(spark)
@@ -148,7 +149,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_docs
 
 
 def score(df: DataFrame, trees: Trees, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """Append the probability of label 1. Null and empty texts are scored like any other."""
+    """Append the probability of label 1.
+
+    Null and empty texts are scored like any other, texts of any length whole; rows are
+    scored one by one, so repeated rows agree; a column named ``out_col`` is replaced, other
+    columns pass; an empty table gives an empty table.
+    """
     spark = df.sparkSession
     ensure_importable(spark)
     shared = spark.sparkContext.broadcast(trees)

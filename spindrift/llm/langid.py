@@ -1,7 +1,7 @@
 """Language identification of mixed-language text.
 
-Letters' script ranges narrow the candidate languages of a word; each candidate scores
-the word by its character n-grams; a Viterbi path over the words of a text, which pays a
+The script ranges that hold most letters of a word narrow its candidate languages, and no
+other language can hold the word; each candidate scores the word by its character n-grams; a Viterbi path over the words of a text, which pays a
 penalty for every change of language, labels spans. The document's language holds most
 letters, its score the share of letters that it holds.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -33,22 +34,48 @@ SCRIPTS = [
     (0x1F00, 0x1FFF, "Greek"), (0x3040, 0x30FF, "Kana"), (0x3400, 0x9FFF, "Han"), (0xAC00, 0xD7AF, "Hangul"),
 ]
 _STARTS = [s[0] for s in SCRIPTS]
-#: Labelled documents that a model is fitted on at most, and n-grams it keeps at most.
+#: Labelled documents that a model is fitted on at most, and n-grams it keeps at most, the
+#: most frequent ones: the size of the model.
 FIT_DOCS = 20_000
 FIT_GRAMS = 60_000
 SWITCH_PENALTY = 8.0
 WORD_FLOOR = -6.0
 WORKER_CACHE = 300_000
 CHUNK = 128
-#: A word is a run of letters; a longer run (unspaced scripts) is cut into words of 40.
-_LETTERS = re.compile(r"[^\W\d_]{1,40}")
+
+
+def _marks() -> str:
+    """The combining marks of the basic plane, as ranges of a character class."""
+    marks = [c for c in range(0x300, 0x10000) if unicodedata.category(chr(c))[0] == "M"]
+    first = [c for c, before in zip(marks, [0, *marks]) if c != before + 1]
+    last = [c for c, after in zip(marks, [*marks[1:], 0]) if after != c + 1]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(first, last))
+
+
+#: A word is a run of letters and their marks; a longer run (unspaced scripts) is cut into
+#: words of 40 letters, or at the eighth mark.
+_LETTERS = re.compile(r"[^\W\d_]{1,40}(?:[%s]{1,8}[^\W\d_]{0,8}){0,8}" % _marks())
 _NEVER = np.float32(-1e9)
+#: What a language that is no candidate scores; no path can make up for it.
+_OUT = np.float32(-1e6)
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-case words of a text in normal form C."""
+    return _LETTERS.findall(text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower())
 
 
 def script_of(word: str) -> str:
-    c = ord(word[0])
-    i = bisect.bisect_right(_STARTS, c) - 1
-    return SCRIPTS[i][2] if i >= 0 and c <= SCRIPTS[i][1] else "Other"
+    """The script of most letters of a word; of equals, the one that comes first."""
+    if word.isascii():
+        return "Latin"
+    seen: dict[str, int] = {}
+    for x in word:
+        c = ord(x)
+        i = bisect.bisect_right(_STARTS, c) - 1
+        name = SCRIPTS[i][2] if i >= 0 and c <= SCRIPTS[i][1] else "Other"
+        seen[name] = seen.get(name, 0) + x.isalpha()
+    return max(seen, key=seen.__getitem__)
 
 
 def grams(word: str) -> list[str]:
@@ -75,7 +102,7 @@ def fit(docs: DataFrame, max_docs: int = FIT_DOCS, max_grams: int = FIT_GRAMS) -
         words: Counter = Counter()
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for w, n in Counter(_LETTERS.findall(text.lower())).items():
+                for w, n in Counter(words_of(text)).items():
                     words[lang, w] += n
         seen: Counter = Counter()
         for (lang, w), n in words.items():
@@ -144,8 +171,8 @@ class Scorer:
             got = [g for g in map(m.grams.get, grams(w)) if g is not None]
             flat += got
             owner += [r] * len(got)
-            if (allowed := m.scripts.get(script_of(w))) and not all(allowed):
-                self.table[r] = np.where(allowed, 0, 2 * WORD_FLOOR)
+            if (allowed := m.scripts.get(script_of(w))) and any(allowed) and not all(allowed):
+                self.table[r] = np.where(allowed, 0, _OUT)
         if flat:
             lo = min(owner)
             s = np.zeros((self.used - lo, self.n), np.float32)
@@ -153,8 +180,9 @@ class Scorer:
             picked = m.scores[flat]
             for k in range(self.n):
                 s[:, k] = np.bincount(own, picked[:, k], self.used - lo)
-            s = np.maximum(s - s.max(axis=1, keepdims=True), WORD_FLOOR)
-            self.table[lo : self.used] += s
+            out = self.table[lo : self.used] < 0
+            s = np.maximum(s - np.where(out, _NEVER, s).max(axis=1, keepdims=True), WORD_FLOOR)
+            self.table[lo : self.used] = np.where(out, _OUT, s)
 
     def lookup(self, words: list[str]) -> np.ndarray:
         found = list(map(self.rows.get, words))
@@ -239,7 +267,7 @@ def _label(scorer: Scorer, texts: list[str], penalty: float):
     words: list[str] = []
     counts = []
     for t in texts:
-        found = _LETTERS.findall(t.lower())
+        found = words_of(t)
         words += found
         counts.append(len(found))
     rows = scorer.lookup(words)
@@ -249,20 +277,22 @@ def _label(scorer: Scorer, texts: list[str], penalty: float):
     return counts, path, scorer.weight[rows]
 
 
-def identify(df: DataFrame, model: Model, text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """Append lang_pred, score and spans (first word, end word, language, letters of each).
+def identify(df: DataFrame, model: Model, text_col: str = "text", penalty: float = SWITCH_PENALTY, with_spans: bool = True) -> DataFrame:
+    """Append lang_pred, score and spans (first word, end word, language, letters of each);
+    without ``with_spans``, the spans are not listed.
 
     A text that is null or has no letter gets ``und``, score 0 and no span, as does every
-    text if no language was learned. Equal totals go to the first language by name.
-    Columns named like the new ones are replaced; rows are judged one by one, so repeated
-    rows agree.
+    text if no language was learned. Equal totals go to the first language by name. Texts
+    of any length are read whole, in runs of words. Columns named like the new ones are
+    replaced; rows are judged one by one, so repeated rows agree.
     """
     spark = df.sparkSession
     ensure_importable(spark)
     shared = spark.sparkContext.broadcast(model)
     key = uuid.uuid4().hex
+    new_cols = ["lang_pred", "score", *(["spans"] if with_spans else [])]
 
-    @F.pandas_udf("lang_pred string, score double, spans array<struct<first:int,end:int,lang:string,letters:long>>")
+    @F.pandas_udf("lang_pred string, score double" + (", spans array<struct<first:int,end:int,lang:string,letters:long>>" if with_spans else ""))
     def run(text):
         import pandas as pd
 
@@ -286,18 +316,21 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", penalty: float
             top = letters.argmax(axis=1)
             preds += [langs[k] if s else "und" for k, s in zip(top, total)]
             scores += (letters.max(axis=1) / np.maximum(total, 1)).tolist()
-            new = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])]) if len(path) else np.zeros(0, np.int64)
-            sums = np.add.reduceat(weight, new) if len(new) else new
-            ends = np.r_[new[1:], len(path)]
-            base = np.cumsum(counts) - counts
-            by: list[list] = [[] for _ in range(j - i)]
-            for a, e, s in zip(new.tolist(), ends.tolist(), sums.tolist()):
-                d = doc[a]
-                by[d].append({"first": int(a - base[d]), "end": int(e - base[d]), "lang": langs[path[a]], "letters": s})
-            spans += by
-        return pd.DataFrame({"lang_pred": preds, "score": scores, "spans": spans})
-
-    return (
-        df.withColumn("_langid", run(F.col(text_col)))
-        .withColumns({c: F.col(f"_langid.{c}") for c in ("lang_pred", "score", "spans")}).drop("_langid")
-    )
+            if with_spans:
+                spans += _spans(langs, counts, doc, path, weight)
+        return pd.DataFrame(dict(zip(new_cols, (preds, scores, spans))))
+
+    name = f"_langid_{key}"
+    return df.withColumn(name, run(F.col(text_col))).withColumns({c: F.col(name)[c] for c in new_cols}).drop(name)
+
+
+def _spans(langs: list[str], counts: np.ndarray, doc: np.ndarray, path: np.ndarray, weight: np.ndarray) -> list[list[dict]]:
+    new = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])]) if len(path) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(weight, new) if len(new) else new
+    ends = np.r_[new[1:], len(path)]
+    base = np.cumsum(counts) - counts
+    by: list[list[dict]] = [[] for _ in counts]
+    for a, e, s in zip(new.tolist(), ends.tolist(), sums.tolist()):
+        d = doc[a]
+        by[d].append({"first": int(a - base[d]), "end": int(e - base[d]), "lang": langs[path[a]], "letters": s})
+    return by

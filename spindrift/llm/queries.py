@@ -41,7 +41,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~held_out()))
-    out = langid.identify(docs.select("doc_id", "text"), model)
+    out = langid.identify(docs.select("doc_id", "text"), model, with_spans=False)
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 

@@ -3,6 +3,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.llm import chat, gbdt, langid, queries, rules
 
@@ -39,7 +40,8 @@ def test_chat_odd_turns(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = [(1, 1, "assistant", None), (1, 0, None, "<|x <\\| <\\\\| a\\|"), (None, None, "assistant", "é\u0000日本🎉"), (2, 0, "assistant", "x" * 50_000),
-            (2, 0, "assistant", "x" * 50_000), (3, 0, "<|im_end|>", "<|endoftext|> <|im_start|>"), (4, 5, "user", "")]
+            (2, 0, "assistant", "x" * 50_000), (3, 0, "<|im_end|>", "<|endoftext|> <|im_start|>"), (4, 5, "user", ""),
+            (5, 1, "user", "zebra"), (5, 1, "user", "apple"), (5, 1, "assistant", "zebra"), (5, 1, "assistant", "apple"), (5, None, "user", "b"), (5, None, "user", "a")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, ids string")
     same(chat.read_back(chat.format_turns(df, path), path), chat.ORACLE.replace("UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'", "").replace("UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'", ""), conversations=df.toPandas())
     assert chat.read_back(chat.format_turns(df.limit(0), path), path).count() == 0
@@ -83,6 +85,60 @@ def test_op5_accuracy_and_spans(spark):
     assert {r.lang_pred for r in langid.identify(odd, none).collect()} == {"und"}
 
 
+def plain_identify(model, text, penalty):
+    """Word by word and letter by letter, with dictionaries and a list of paths."""
+    import unicodedata
+
+    words, now = [], ""
+    for c in unicodedata.normalize("NFC", text).lower() + " ":
+        if c.isalpha() and len(now) < 40:
+            now += c
+        else:
+            words += [now] if now else []
+            now = c if c.isalpha() else ""
+    best = {}  # language: (score, path)
+    for w in words:
+        names = [next((n for lo, hi, n in langid.SCRIPTS if lo <= ord(c) <= hi), "Other") for c in w]
+        allowed = model.scripts.get(max(names, key=names.count), [True] * len(model.langs))
+        raw = {}
+        for k, lang in enumerate(model.langs):
+            if allowed[k] or not any(allowed):
+                raw[lang] = sum(float(model.scores[model.grams[g], k]) for n in (1, 2, 3) for i in range(len(w) + 3 - n) if (g := f"^{w}$"[i : i + n]) in model.grams)
+        step = {x: max(raw[x] - max(raw.values()), langid.WORD_FLOOR) if x in raw else -1e6 for x in model.langs}
+        if not best:
+            best = {x: (step[x], [x]) for x in model.langs}
+            continue
+        top = max(best.values())
+        best = {x: (max(best[x][0], top[0] - penalty) + step[x], (best[x] if best[x][0] >= top[0] - penalty else top)[1] + [x]) for x in model.langs}
+    if not best:
+        return "und", 0.0, {}
+    score, path = max(best.values(), key=lambda b: b[0])
+    letters = {x: sum(len(w) for w, p in zip(words, path) if p == x) for x in model.langs}
+    return max(letters, key=letters.get), max(letters.values()) / sum(letters.values()), letters
+
+
+def test_op5_equals_plain_version(spark):
+    rows = [(1, "the house is over there and we will see it " * 9, "en"), (2, "das haus steht dort und wir werden es sehen " * 9, "de"),
+            (3, "дом стоит там и мы увидим его " * 9, "ru"), (4, "το σπίτι είναι εκεί και θα το δούμε " * 9, "el")]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    fit = spark.createDataFrame(rows, "doc_id long, text string, lang string").unionByName(docs.selectExpr("doc_id + 100", "text", "lang").toDF("doc_id", "text", "lang"))
+    model = langid.fit(fit)
+    texts = [r.text for r in docs.collect() if len(r.text) < 4000] + [
+        "we see das haus steht dort, and the house", "дом house дом", "12 !", "σπίτι και the house is", "x" * 95, "e\u0301te\u0301 here", "日本 the", "xхouse"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in langid.identify(df, model).collect():
+        lang, score, letters = plain_identify(model, r.text, langid.SWITCH_PENALTY)
+        got = {x: sum(s.letters for s in r.spans if s.lang == x) for x in model.langs}
+        assert (r.lang_pred, round(r.score, 9)) == (lang, round(score, 9)) and got == (letters or {x: 0 for x in model.langs}), r.text[:80]
+    short = langid.identify(df.withColumn("score", F.lit("own")), model, with_spans=False)
+    assert short.columns == ["doc_id", "text", "score", "lang_pred"] and short.where("score between 0 and 1").count() == len(texts)
+
+
+def test_words_keep_their_marks():
+    assert langid.words_of("Cafe\u0301, \u0939\u093f\u0928\u094d\u0926\u0940 x1y") == ["caf\u00e9", "\u0939\u093f\u0928\u094d\u0926\u0940", "x", "y"]
+    assert langid.script_of("\u0939\u093f\u0928") == "Devanagari" and langid.script_of("xдом") == "Cyrillic"
+
+
 def test_rare_language_keeps_its_script(spark):
     """One word in 5,000 is of the rare language."""
     rows = [(1, "the house is over there and we will see it " * 10_000, "en"), (2, "zwyk kuqo vuzy qarw " * 5, "xx")]
@@ -110,6 +166,61 @@ def test_op10_held_out_accuracy(spark):
     assert gbdt.score(odd, gbdt.grow(np.zeros((0, len(gbdt.NAMES))), np.zeros(0))).where("score = 0.5").count() == 4
 
 
+def plain_grow(x, y, trees, depth):
+    """Boosting with every cut of every column tried by plain sums; a tree as nested tuples."""
+    x, y = [list(map(float, r)) for r in x], list(map(float, y))
+    edges = [sorted(set(np.quantile([r[j] for r in x], np.linspace(0, 1, gbdt.BINS + 1)[1:-1]).tolist())) for j in range(len(x[0]))]
+    p = sum(y) / len(y)
+    base = float(np.log(p / (1 - p)))
+    margin, out = [base] * len(y), []
+
+    def split(rows, level):
+        g, h = [sum(c[i] for i in rows) for c in (grad, curve)]
+        if level == depth:
+            return -gbdt.RATE * g / (h + gbdt.L2)
+        best = (1e-9, None, None)
+        for j, cuts in enumerate(edges):
+            for cut in cuts:
+                left = [i for i in rows if x[i][j] <= cut]
+                if min(len(left), len(rows) - len(left)) >= gbdt.MIN_LEAF:
+                    gl, hl = [sum(c[i] for i in left) for c in (grad, curve)]
+                    gain = gl**2 / (hl + gbdt.L2) + (g - gl) ** 2 / (h - hl + gbdt.L2) - g**2 / (h + gbdt.L2)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, j, cut)
+        _, j, cut = best
+        if j is None:
+            return split(rows, depth)
+        return j, cut, split([i for i in rows if x[i][j] <= cut], level + 1), split([i for i in rows if x[i][j] > cut], level + 1)
+
+    def walk(node, r):
+        while isinstance(node, tuple):
+            node = node[2] if r[node[0]] <= node[1] else node[3]
+        return node
+
+    for _ in range(trees):
+        prob = [1 / (1 + np.exp(-m)) for m in margin]
+        grad, curve = [a - b for a, b in zip(prob, y)], [a * (1 - a) for a in prob]
+        out.append(split(list(range(len(y))), 0))
+        margin = [m + walk(out[-1], r) for m, r in zip(margin, x)]
+    return lambda r: 1 / (1 + np.exp(-(base + sum(walk(t, r) for t in out))))
+
+
+def test_op10_equals_plain_trees(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(160, 3)).round(1)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 1] > 0) | (rng.random(160) < 0.1)).astype(float)
+    got = gbdt.grow(x, y, trees=4, depth=3)
+    plain = plain_grow(x, y, 4, 3)
+    new = np.concatenate([x, rng.normal(size=(50, 3))])
+    assert np.allclose(got.score(new), [plain(r) for r in new.tolist()], atol=1e-9)
+    docs = spark.createDataFrame([(1, "A b c", "own"), (1, "A b c", "own"), (2, None, "own")], "doc_id long, text string, score string")
+    wide = gbdt.Trees(0.0, np.array([[1]]), np.array([[0.5]]), np.array([[-1.0, 1.0]]))
+    s = gbdt.score(docs, wide)
+    assert s.columns == docs.columns and sorted(r.score > 0.5 for r in s.collect()) == [False, True, True]
+    assert gbdt.score(docs.limit(0), wide).count() == 0
+    assert gbdt.fit(docs, spark.createDataFrame([], "doc_id long, quality int")).base == 0
+
+
 def test_op9_equals_sql(spark):
     same(queries.op9_quality_rules(spark, SF), rules.ORACLE)
 
