@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words as the quality rules define them: runs without space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_writers: list[str] = []  # the setting before the first of the writes that run now
+_scopes: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,24 +55,46 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_dir(spark, tag)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    with _lock:  # writes of several threads share the setting
+        _writers.append(_writers[0] if _writers else spark.conf.get(_CLEANUP, "false"))
+        spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        with _lock:
+            before = _writers.pop()
+            if not _writers:
+                spark.conf.set(_CLEANUP, before)
+    for made in _scopes:
+        made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._spindrift_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete at the end what :func:`materialize` wrote inside, but for paths taken from the list."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            _delete(spark, path)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of :func:`materialize` that no later plan reads."""
     for df in tables:
-        spark, path = df.sparkSession, getattr(df, "_spindrift_path", None)
-        if path:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        if path := getattr(df, "_spindrift_path", None):
+            _delete(df.sparkSession, path)
 
 
 def parts(spark: SparkSession) -> int:

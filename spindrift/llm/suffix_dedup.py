@@ -504,9 +504,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     all_docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
     # whole copies of an earlier document go without sorting
     hashed = all_docs.where("doc_id is not null and octet_length(text) >= %d" % LENGTH).select("doc_id", "tag", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n"))
-    least = hashed.groupBy("sha").agg(F.min("doc_id").alias("first_id"))
+    least = hashed.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
+    # a table, so that the join below can split a text with very many copies
+    least = materialize(least.select("sha", "first_id"), "least")
     copies = hashed.join(least, "sha").where("doc_id > first_id").select("doc_id", "tag", F.lit(0).cast("long").alias("first"), F.col("n").alias("end")).distinct()
     copies = materialize(copies, "copies")
+    release(least)
     spans = repeated_spans(all_docs.where("doc_id is not null"), copies)
     per_doc = (
         spans.unionByName(copies).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "end")).alias("found"))

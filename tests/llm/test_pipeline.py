@@ -1,3 +1,5 @@
+import os
+
 import public_tokenizers
 from pyspark.sql import functions as F
 from test_bagminhash import brute as near_brute
@@ -20,15 +22,17 @@ def test_stages_against_plain_versions(spark):
     rows = [r for r, x in zip(rows, s) if x >= 0.5]
     class_of = dict(near_brute([(r.doc_id, r.text) for r in rows]))
     rows = [r for r in rows if class_of[r.doc_id] == r.doc_id]
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     df = spark.createDataFrame(rows, docs.schema)
-    leaked = {r.doc_id for r in decontam.find_overlaps(df, items).collect()}
+    leaked = {r.doc_id for r in decontam.contamination(df, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     rows = [r for r in rows if r.doc_id not in leaked]
     con = duckdb.connect()
     con.register("documents", spark.createDataFrame(rows, docs.schema).toPandas())
     text = {r.doc_id: r.text for r in rows}
     taken = [(d, text[d]) for (d, *_) in con.execute(mixing.ORACLE).fetchall()]
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     got = sorted(tuple(r) for r in cp.run(spark, SF).collect())
+    assert [x.split("-")[:2] for x in set(os.listdir(folder)) - before] == [["stage", "tokens"]]  # nothing else is left
     assert got == sorted(expected(taken)) and len(got) > 200
 
 
@@ -43,13 +47,19 @@ def test_stages_on_odd_tables(spark):
             out.collect()
     assert sorted(str(r.doc_id) for r in cp.near_duplicates(spark, docs, SF).collect()) == ["1", "2", "5", "None"]
     assert public_tokenizers.path("x")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    leaks = spark.createDataFrame([(None, bench), (3, "a " + bench), (3, "clean"), (None, "clean")], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in cp.decontaminate(spark, leaks, SF).collect()) == ["3", "None"]
+    again = spark.createDataFrame([(4, f"t{i} only here", i) for i in (3, 1, 2, 1)], "doc_id long, text string, n int")
+    for n in (1, 3):
+        assert [tuple(r) for r in cp.near_duplicates(spark, again.repartition(n), SF).collect()] == [(4, "t1 only here", 1)]
 
 
 def test_stages_with_clashing_names(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = ["score", "_score", "row", "_row", "q", "cut", "_n", "epoch", "domain", "n_tokens", "class_id", "item_id", "label", "node", "text2", "a.b"]
     wide = docs.withColumns({c: F.lit(f"own {c}") for c in names})
-    for name in ("quality", "decontaminate", "mix"):
+    for name in ("quality", "near_duplicates", "decontaminate", "mix"):
         stage = dict(cp.STAGES)[name]
         out = stage(spark, wide, SF)
         assert out.columns == wide.columns
