@@ -22,7 +22,7 @@ ROLL_ROWS = 5_000_000
 
 def segments(spark: SparkSession, path: str, taken: DataFrame | None = None) -> DataFrame:
     """Closed segments of a directory and its ``prio=`` and ``ws=`` folders: file, path, bytes,
-    and prio; without those in ``taken`` (file). No content is read."""
+    and prio; without those in ``taken`` (file), and without empty ones. No content is read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).option("recursiveFileLookup", "true").load(path)
     found = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "path", F.col("length").alias("bytes"))
     found = found.withColumn("prio", F.regexp_extract("path", "/prio=([0-9]+)/", 1).try_cast("int")).where(~F.col("file").endswith(".open"))
@@ -31,7 +31,7 @@ def segments(spark: SparkSession, path: str, taken: DataFrame | None = None) ->
 
 def next_segment(spark: SparkSession, path: str, taken: DataFrame | None = None) -> str | None:
     """The path of the next segment that has content: least priority, then least name."""
-    first = segments(spark, path, taken).where("bytes > 0").agg(F.min_by("path", F.struct(F.coalesce("prio", F.lit(0)), "file"))).first()
+    first = segments(spark, path, taken).agg(F.min_by("path", F.struct(F.coalesce("prio", F.lit(0)), "file"))).first()
     return first[0]
 
 
