@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import json
 import struct
+import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,6 +200,15 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class _Cache(dict):
+    """Bytes of stretches; ``miss`` makes and keeps what is asked for and not there."""
+
+    __slots__ = ("miss",)
+
+    def __missing__(self, w: str) -> bytes:
+        return self.miss(w)
+
+
 class _Encoder:
     """Ids of the tokenizers library, through a cache of stretches without spaces.
 
@@ -218,7 +229,8 @@ class _Encoder:
         self.t.no_padding()
         self.wide = np.dtype("<u2") if self.t.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.letters = _byte_letters()
-        self.cache: dict[str, bytes] = {"": b""}
+        self.code = "H" if self.wide.itemsize == 2 else "I"
+        self.cache = _Cache({"": b""})
         self.splits = all(self._library(p) == [i for w in p.replace("\n", " ").split(" ") for i in self._library(w)] for p in _PROBES)
         # the shortcut holds for a tokenizer that ignores case and parts letters from the rest
         self.folds = self.splits and self._library("Ab,") == self._model("ab") + self._library(",")
@@ -231,8 +243,11 @@ class _Encoder:
             word = "".join(map(self.letters.__getitem__, word.encode()))
         return [x.id for x in self.t.model.tokenize(word)]
 
-    def _keep(self, w: str, ids: list[int]) -> bytes:
-        return self._put(w, np.array(ids, self.wide).tobytes())
+    def _bytes(self, ids: list[int]) -> bytes:
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def _put(self, w: str, x: bytes) -> bytes:
         if len(w) <= 64:
@@ -244,7 +259,7 @@ class _Encoder:
 
     def _plain(self, w: str) -> bytes:
         x = self.cache.get(w)
-        return self._keep(w, self._library(w)) if x is None else x
+        return self._put(w, self._bytes(self._library(w))) if x is None else x
 
     def _folded(self, w: str) -> bytes:
         core = w.rstrip(_TAIL)
@@ -252,24 +267,20 @@ class _Encoder:
             return self._plain(w)
         x = self.cache.get(core)
         if x is None:
-            x = self._keep(core, self._model(core))
+            x = self._put(core, self._bytes(self._model(core)))
             return x + self._plain(w[len(core) :]) if len(core) < len(w) else x
         x += self._plain(w[len(core) :])  # seen before: the stretch may come again too
         return self._put(w, x)
 
     def ids(self, text: str) -> bytes:
-        miss = self._plain
         if not self.splits:
-            return np.array(self._library(text), self.wide).tobytes()
+            return self._bytes(self._library(text))
+        self.cache.miss = self._plain
         if self.folds and "<|" not in text and "Σ" not in text:
             low = text.lower()
             if text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
-                text, miss = low, self._folded
-        words = text.replace("\n", " ").split(" ")
-        found = list(map(self.cache.get, words))
-        if None in found:
-            found = [miss(w) if x is None else x for x, w in zip(found, words)]
-        return b"".join(found)
+                text, self.cache.miss = low, self._folded
+        return b"".join(map(self.cache.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def encoder(path: str) -> _Encoder:
