@@ -53,8 +53,11 @@ def _marks() -> str:
 
 
 #: A word is a run of letters and their marks; a longer run (unspaced scripts) is cut into
-#: words of 40 letters, or at the eighth mark.
-_LETTERS = re.compile(r"[^\W\d_]{1,40}(?:[%s]{1,8}[^\W\d_]{0,8}){0,8}" % _marks())
+#: words of 40 letters, or at the eighth mark. The first pattern does for texts without marks.
+_PLAIN = re.compile(r"[^\W\d_]{1,40}")
+_MARKED = re.compile(r"[^\W\d_]{1,40}(?:[%s]{1,8}[^\W\d_]{0,8}){0,8}" % _marks())
+#: Characters from the first mark on, but for punctuation and symbols.
+_HIGH = re.compile("[\u0300-\u1fff\u20d0-\u20f0\u2c00-\uffff]")
 _NEVER = np.float32(-1e9)
 #: What a language that is no candidate scores; no path can make up for it.
 _OUT = np.float32(-1e6)
@@ -62,12 +65,15 @@ _OUT = np.float32(-1e6)
 
 def words_of(text: str) -> list[str]:
     """Lower-case words of a text in normal form C."""
-    return _LETTERS.findall(text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower())
+    if text.isascii():
+        return _PLAIN.findall(text.lower())
+    text = unicodedata.normalize("NFC", text).lower()
+    return (_MARKED if _HIGH.search(text) else _PLAIN).findall(text)
 
 
 def script_of(word: str) -> str:
     """The script of most letters of a word; of equals, the one that comes first."""
-    if word.isascii():
+    if word.isascii() or max(word) <= "\u024f":
         return "Latin"
     seen: dict[str, int] = {}
     for x in word:
