@@ -308,9 +308,9 @@ def url_compression(s, d):
     return status.compression(v.bulk(s, d)).where("packed > 0").select("bytes")
 
 
-@query(q("wd", TB, worksets("wd"), body=f"SELECT seq, ws, ws % {v.CLIENTS} AS client, ((ws % 25) // 5)::INT AS server, CASE WHEN (ws % 25) // 5 < 3 THEN 'hq' || (ws % 25) // 5 END AS name FROM ws"))
+@query(q("wd", TB, worksets("wd"), body=f"SELECT seq, ws, ws % {v.CLIENTS} AS client, ((ws % 25) // 5)::INT AS server, CASE WHEN (ws % 25) // 5 < 3 THEN 'srv' || (ws % 25) // 5 END AS name FROM ws"))
 def locate(s, d):
-    servers = s.range(3).select(F.col("id").cast("int").alias("server"), F.concat(F.lit("hq"), F.col("id").cast("string")).alias("name"))
+    servers = s.range(3).select(F.col("id").cast("int").alias("server"), F.concat(F.lit("srv"), F.col("id").cast("string")).alias("name"))
     return assignment.locate(v.wide(s, d), assignment.default_wscl(s, v.CLIENTS), servers, 5).select("seq", "ws", "client", "server", "name")
 
 
