@@ -354,3 +354,40 @@ def test_assignment_and_status(spark):
     t = spark.createDataFrame([(10, 0), (10, 5)], "n int, t int").select(status.per_second(F.col("n"), F.col("t")).alias("r"))
     assert [r.r for r in t.collect()] == [0.0, 2.0]
     assert dispatch.active_clients(spark.sql("select 1 client, timestamp'2024-01-01' last_feed union all select 2, timestamp'2024-01-02'"), "2024-01-02 05:00:00").collect() == [(2,)]
+
+
+def test_commands(spark, tmp_path, capsys):
+    from spindrift import commands
+
+    p = f"file://{tmp_path}"
+    (tmp_path / "seeds").write_text("# none\na.com\nhttp://b.org/x\nmailto://c\n\n")
+    r = commands.schedule(spark, "seed", f"{p}/seeds", f"{p}/queue", force=True).first()
+    assert (r["count"], r.dropped, r.ignored) == (2, 1, "mailto")
+    assert sorted((x.u, x.f) for x in formats.read_queue(spark, f"{p}/queue").collect()) == [("http://a.com/", 1), ("http://b.org/x", 1)]
+    with pytest.raises(ValueError):
+        commands.schedule(spark, "none", f"{p}/seeds", f"{p}/queue")
+    with pytest.raises(ValueError):
+        commands.schedule(spark, "seed", f"{p}/seeds", f"{p}/queue", job="9")
+    n = commands.novelty(spark, f"{p}/queue").first()
+    assert (n.distinct_ids, n.novelty) == (2, 1.0) and commands.hashes(spark, f"{p}/queue").distinct().count() == 2
+    assert commands.split(spark, f"{p}/queue", f"{p}/windows").agg(F.sum("rows")).first()[0] == 2
+    owned = {x.server: x.rows for x in commands.shuffle(spark, f"{p}/queue", f"{p}/shuffled", -1, [0, 1, 2, 3, 4], 5).collect()}
+    assert sum(owned.values()) == 2
+    (tmp_path / "v1").write_bytes(struct.pack("<3q", 1, 5, 9))
+    (tmp_path / "v2").write_bytes(struct.pack("<qIqI"[0:1] + "qI", 5, 7) + struct.pack("<qI", 5, 9))
+    assert commands.seen_check(spark, f"{p}/v1", 1).first().ok is True and commands.seen_check(spark, f"{p}/v2").first().duplicates == 1
+    assert commands.seen_convert(spark, f"{p}/v1", f"{p}/t1").first().records == 3
+    assert commands.seen_repair(spark, f"{p}/t2", f"{p}/v2", f"{p}/v2").first().records == 1
+    assert commands.seen_dump(spark, f"{p}/v2", f"{p}/text").first().records == 2
+    (tmp_path / "log").write_text("t 200 5 http://x/ L v text/html #1 20120102030405+1 sha1:x - -\n")
+    assert commands.seen_rebuild(spark, f"{p}/log", f"{p}/t3").first().records == 1
+    (tmp_path / "rules").write_text("// a\n*.uk\n!bl.uk\n")
+    assert re.match(commands.public_suffixes(spark, f"{p}/rules").first().pattern, "uk,bl,www,").group(0) == "uk,bl,"
+    assert commands.main(["novelty", f"{p}/queue"]) == 0 and '"distinct_ids":2' in capsys.readouterr().out
+    assert commands.main(["none"]) == 2
+
+
+def test_compression_by_batch(spark):
+    rows = batch(spark, [f"same{i % 2}" for i in range(40)]).withColumn("b", F.col("seq") % 2)
+    r = status.compression(rows, batch="b").collect()
+    assert len(r) == 2 and all(x.ratio < 0.5 for x in r)
