@@ -376,7 +376,8 @@ def classes(docs: DataFrame) -> DataFrame:
     doc_id are one document: they share a class, found by the buckets of all their texts and
     verified by the greatest text.
     Rows without doc_id get no class and link nothing. Copies and repeats fall into the
-    class of their words. An empty table gives an empty table.
+    class of their words. Texts of any length are read whole; other columns are not read. An
+    empty table gives an empty table.
     """
     spark = docs.sparkSession
     signed = materialize(sign(docs), "signed")

@@ -51,7 +51,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage through a Parquet table in the shared folder.
 
     Shuffle files of the write are removed as soon as it ends, so that disk holds the
-    table and not what led to it.
+    table and not what led to it. The table goes with :func:`release`, or when the driver ends.
     """
     spark = df.sparkSession
     path = work_dir(spark, tag)
@@ -67,14 +67,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
                 spark.conf.set(_CLEANUP, before)
     for made in _scopes:
         made.append(path)
+    p, fs = _file_system(spark, path)
+    fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._spindrift_path = path
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
+    """A path and its file system, in the JVM."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p, fs = _file_system(spark, path)
+    fs.delete(p, True)
+    fs.cancelDeleteOnExit(p)
 
 
 @contextmanager

@@ -141,7 +141,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Measures, base rules and verdict per document of ``docs`` (doc_id, text, lang).
 
     Null languages form a stratum of their own; null and empty texts fail the base rules;
-    repeated rows are judged alike; of a document's labels the highest counts.
+    repeated rows are judged alike; of a document's labels the highest counts. Texts of any
+    length are read whole; other columns are not read; an empty table gives an empty table.
     """
     m = measures(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), "text")).drop("text")
     m = materialize(m, "rules")  # read by the calibration and by the verdict

@@ -346,9 +346,14 @@ def encode_shards(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     return cols.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, IMAGE)
 
 
-def write_shards(df: DataFrame, tokenizer: str, **kw) -> DataFrame:
-    """Write the shard images through Spark's committer and return the table read back."""
-    return materialize(encode_shards(df, tokenizer, **kw), "wavelet")
+def write_shards(df: DataFrame, tokenizer: str, path: str | None = None, **kw) -> DataFrame:
+    """Write the shard images through Spark's committer and return the table read back. They
+    stay at ``path``; without one, they last as long as the driver."""
+    shards = encode_shards(df, tokenizer, **kw)
+    if path is None:
+        return materialize(shards, "wavelet")
+    shards.write.parquet(path)
+    return df.sparkSession.read.schema(IMAGE).parquet(path)
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:

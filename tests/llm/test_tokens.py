@@ -79,10 +79,11 @@ def test_wavelet_access_rank_select(monkeypatch):
         wavelet.Image(data[:-1] + bytes([data[-1] ^ 1])).all()
 
 
-def test_lookups_in_written_images(spark, odd):
+def test_lookups_in_written_images(spark, odd, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    shards = wavelet.write_shards(odd, path, shard_tokens=50)
+    wavelet.write_shards(odd, path, f"file://{tmp_path}/images", shard_tokens=50)
+    shards = spark.read.parquet(f"file://{tmp_path}/images")
     ids = [(r.doc_id, t.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in odd.collect()]
     asked = [2, ids[3][1][0], t.encode("w", add_special_tokens=False).ids[0], 49000]
     want = sorted((d, k, i) for d, x in ids for i, k in enumerate(x) if k in asked)
