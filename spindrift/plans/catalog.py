@@ -458,8 +458,14 @@ def stream_dispatch(s, d):
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder that all executors share, which goes when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return f"{path}/data"
 
 
 from spindrift.plans import tools  # noqa: E402, F401  (its queries register here)
