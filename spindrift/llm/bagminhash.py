@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from spindrift.llm.common import ensure_importable, materialize, parts, release, slices
+from spindrift.llm.common import claim, ensure_importable, materialize, parts, release, slices
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 32 bands of 4: a pair at 0.8 misses every band with probability 5e-8.
@@ -128,9 +128,10 @@ def sign(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ensure_importable(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("signatures")
         for b in batches:
             ids, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
-            for i, j in slices(texts, 2_000_000):
+            for i, j in slices(texts, 1_000_000):
                 doc, x, w, split = shingles(texts[i:j])
                 bits = signatures(doc, x, w, j - i).view(np.uint64)
                 key = np.zeros((j - i, BANDS), np.uint64)

@@ -16,7 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _lock = threading.Lock()
-_writers: list[str] = []  # the setting before the first of the writes that run now
+_writers: list[tuple[str, ...]] = []  # the settings before the first of the writes that run now
+#: Settings of a write of :func:`materialize`: shuffle files go at its end, and Python workers
+#: get few rows at a time, since a row is a document.
+_SETTINGS = {_CLEANUP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 _scopes: list[list[str]] = []
 
 
@@ -55,16 +58,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_dir(spark, tag)
-    with _lock:  # writes of several threads share the setting
-        _writers.append(_writers[0] if _writers else spark.conf.get(_CLEANUP, "false"))
-        spark.conf.set(_CLEANUP, "true")
+    with _lock:  # writes of several threads share the settings
+        _writers.append(_writers[0] if _writers else tuple(spark.conf.get(k) for k in _SETTINGS))
+        for k, v in _SETTINGS.items():
+            spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
         with _lock:
             before = _writers.pop()
             if not _writers:
-                spark.conf.set(_CLEANUP, before)
+                for k, v in zip(_SETTINGS, before):
+                    spark.conf.set(k, v)
     for made in _scopes:
         made.append(path)
     p, fs = _file_system(spark, path)
@@ -106,6 +111,19 @@ def release(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+_caches: dict[str, dict] = {}
+
+
+def claim(owner: str, cache: dict | None = None) -> None:
+    """Called in a Python worker by the operator that works now: what other operators hold in
+    this worker goes, so that a worker holds the cache of one operator."""
+    for name, held in _caches.items():
+        if name != owner:
+            held.clear()
+    if cache is not None:
+        _caches[owner] = cache
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -25,7 +25,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import ensure_importable, materialize, release, slices
+from spindrift.llm.common import claim, ensure_importable, materialize, release, slices
 
 #: Weight 6 each, so that about a word in three of a window may be substituted.
 MASKS = ["111001011", "1101010011", "110010001101"]
@@ -174,6 +174,7 @@ def find_overlaps(spark: SparkSession, items: list[tuple[int, str]], text: Colum
     def run(column):
         import pandas as pd
 
+        claim("decontam", _indexes)
         if _indexes.get("key") != key:
             _indexes.clear()
             _indexes.update(key=key, index=Index(shared.value))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.common import ensure_importable, materialize, parts
+from spindrift.llm.common import claim, ensure_importable, materialize, parts
 
 MAGIC = b"WVM2"
 END_ID = 2
@@ -284,6 +284,7 @@ class _Encoder:
 
 
 def encoder(path: str) -> _Encoder:
+    claim("wavelet", _encoders)
     if path not in _encoders:
         _encoders[path] = _Encoder(path)
     return _encoders[path]
